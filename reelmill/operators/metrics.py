@@ -178,8 +178,23 @@ def reduce_series(vector: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # --- rate ---------------------------------------------------------------------
 
+# What a stretch of a counter is reduced to; sorts by time.
+STATE = ["first_us", "last_us", "first_v", "last_v", "n", "resets"]
 
-def _fold(states: Column) -> Column:
+
+def point_state(us: Column, value: Column) -> Column:
+    """A single sample as a state."""
+    zero, one = F.lit(0.0), F.lit(1).cast("bigint")
+    parts = [us, us, value, value, one, zero]
+    return F.struct(*[p.alias(name) for p, name in zip(parts, STATE, strict=True)])
+
+
+def bucket_width(range_s: int, step: int, resolution: int) -> int:
+    """The widest bucket up to ``resolution`` that ranges and steps consist of."""
+    return math.gcd(math.gcd(range_s, step), resolution)
+
+
+def fold_states(states: Column) -> Column:
     """Merge a time-ordered array of bucket states into one.
 
     A counter that starts a bucket below where the previous one ended was reset in
@@ -240,7 +255,7 @@ def rate(
     Samples are ordered only inside buckets of at most ``resolution`` seconds.  A
     range is then put together from at most range / resolution bucket states.
     """
-    width = math.gcd(math.gcd(range_s, step), resolution) * MICROS
+    width = bucket_width(range_s, step, resolution) * MICROS
     step_us, range_us = step * MICROS, range_s * MICROS
     us = F.col("us")
     series = ["metric", "series"]
@@ -262,14 +277,13 @@ def rate(
             F.sum("dropped").alias("resets"),
         )
     )
-    fields = ["first_us", "last_us", "first_v", "last_v", "n", "resets"]
     first_at = _ceil_to(F.col("bucket"), step_us)
     last_at = _floor_to(F.col("bucket") - width + range_us, step_us)
     merged = (
         states.where(last_at >= first_at)
         .withColumn("at", F.explode(F.sequence(first_at, last_at, F.lit(step_us))))
         .groupBy(*series, "at")
-        .agg(_fold(F.sort_array(F.collect_list(F.struct(*fields)))).alias("state"))
+        .agg(fold_states(F.sort_array(F.collect_list(F.struct(*STATE)))).alias("state"))
         .where(F.col("state.n") >= 2)
     )
     at = F.col("at")

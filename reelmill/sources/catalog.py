@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +41,27 @@ def register_external(
 
 
 def materialize(
-    df: DataFrame, db: str, name: str, *, root: str, fmt: str = "parquet"
+    df: DataFrame,
+    db: str,
+    name: str,
+    *,
+    root: str,
+    fmt: str = "parquet",
+    check: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Create or replace a table from a query.
 
     The rows go to a fresh folder first and the catalog is pointed there once they
-    are complete, so a failed run leaves the old table as it was, and a query may
-    read the table it replaces.  Old folders stay until :func:`drop_old_versions`.
+    are complete and ``check`` raised nothing, so a failed run leaves the old table
+    as it was, and a query may read the table it replaces.  Old folders stay until
+    :func:`drop_old_versions`.
     """
     spark = df.sparkSession
     table = _quoted(db, name)
     location = f"{root}/{db}/{name}/v-{uuid.uuid4().hex}"
     df.write.format(fmt).mode("errorifexists").save(location)
+    if check is not None:
+        check(spark.read.format(fmt).schema(df.schema).load(location))
     if spark.catalog.tableExists(table):
         if spark.table(table).schema.simpleString() == df.schema.simpleString():
             spark.sql(f"ALTER TABLE {table} SET LOCATION {_literal(location)}")

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
-from ..operators.metrics import MICROS, canonical, rate_of
+from ..operators.metrics import (
+    MICROS,
+    bucket_width,
+    canonical,
+    fold_states,
+    point_state,
+    rate_of,
+)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -17,58 +28,50 @@ def rate_stream(
     step: int = 30,
     *,
     delay: str = "1 minute",
-    extrapolate: bool = False,
+    extrapolate: bool = True,
+    resolution: int = 60,
 ) -> DataFrame:
     """Rate per series over (t - range, t] at every step, emitted when t is closed.
 
+    Two windowed aggregations in a row, as in the batch rate: samples are folded
+    into buckets of at most ``resolution`` seconds, closed buckets into ranges.  So
+    state is one short bucket of samples plus range / resolution bucket states per
+    series and open range, however many samples a series has.
+
     Spark's windows hold their start and not their end; moving the event time back
-    by one microsecond turns them into the range that the batch rate uses.  A group
-    holds the samples of one series in one range, as many as were scraped in it.
+    by one microsecond turns them into the (start, end] ranges wanted here.
     """
-    opened = samples.select(
+    width = bucket_width(range_s, step, resolution)
+    points = samples.select(
         "metric",
         canonical().alias("series"),
-        F.struct(F.unix_micros("ts").alias("us"), "value").alias("sample"),
+        point_state(F.unix_micros("ts"), F.col("value")).alias("point"),
         (F.col("ts") - F.expr("INTERVAL 1 MICROSECOND")).alias("moved"),
     ).withWatermark("moved", delay)
-    ranges = (
-        opened.groupBy(
-            "metric", "series", F.window("moved", f"{range_s} seconds", f"{step} seconds")
-        )
-        .agg(F.sort_array(F.collect_list("sample")).alias("points"))
-        .where(F.size("points") >= 2)
+    buckets = (
+        points.groupBy("metric", "series", F.window("moved", f"{width} seconds"))
+        .agg(fold_states(F.sort_array(F.collect_list("point"))).alias("state"))
+        .select("metric", "series", "state", F.window_time("window").alias("closed"))
     )
-
-    def merge(acc, p):
-        reset = F.when(p["value"] < acc["last_v"], acc["last_v"]).otherwise(0.0)
-        return F.struct(
-            p["value"].alias("last_v"), (acc["resets"] + reset).alias("resets")
+    ranges = (
+        buckets.groupBy(
+            "metric", "series", F.window("closed", f"{range_s} seconds", f"{step} seconds")
         )
-
-    first, last = F.col("points")[0], F.element_at("points", -1)
-    walked = F.aggregate(
-        "points",
-        F.struct(first["value"].alias("last_v"), F.lit(0.0).alias("resets")),
-        merge,
-    )
-    state = F.struct(
-        first["us"].alias("first_us"),
-        last["us"].alias("last_us"),
-        first["value"].alias("first_v"),
-        last["value"].alias("last_v"),
-        F.size("points").cast("bigint").alias("n"),
-        walked["resets"].alias("resets"),
+        .agg(fold_states(F.sort_array(F.collect_list("state"))).alias("state"))
+        .where(F.col("state.n") >= 2)
     )
     end_us = F.unix_micros("window.end")
     return ranges.select(
         "metric",
         F.map_from_entries("series").alias("labels"),
         F.col("window.end").alias("t"),
-        rate_of(state, end_us - range_s * MICROS, end_us, extrapolate).alias("value"),
+        rate_of(F.col("state"), end_us - range_s * MICROS, end_us, extrapolate).alias("value"),
     )
 
 
-def read_sample_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+def read_sample_files(
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
+) -> DataFrame:
     """A stream over a folder that sample files are added to, oldest first."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -76,17 +79,27 @@ def read_sample_files(spark: SparkSession, path: str, schema, files_per_batch: i
     return reader.parquet(path)
 
 
-def drain(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there now, append the closed windows to ``out`` and stop.
-
-    State lives in RocksDB, off the heap, and in the checkpoint folder; run again on
-    the same folder, it goes on where it stopped.
-    """
-    spark = df.sparkSession
+@contextmanager
+def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKSDB)
     try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def drain(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there now, append the closed windows to ``out`` and stop.
+
+    State is kept in RocksDB, off the heap, and in the checkpoint folder; started
+    again on the same folder, the query goes on where it stopped.
+    """
+    with _state_in_rocksdb(df.sparkSession):
         query = (
             df.writeStream.outputMode("append")
             .format("parquet")
@@ -96,9 +109,4 @@ def drain(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             .start()
         )
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
     return query

@@ -115,6 +115,60 @@ def samples(events: DataFrame) -> DataFrame:
     )
 
 
+# Which dashboard metrics an event of each type reports.
+PANEL_METRICS = {
+    "signup": [
+        "airflow_ti_running", "airflow_ti_queued", "airflow_dagbag_size",
+        "airflow_executor_open_slots", "airflow_executor_running_tasks",
+        "airflow_executor_queued_tasks",
+    ],
+    "click": ["airflow_task_duration_sum", "airflow_task_duration_count"],
+    "view": [
+        "airflow_task_duration", "airflow_operator_successes",
+        "airflow_dagrun_duration_success", "airflow_dagrun_duration_success_sum",
+        "airflow_dagrun_duration_success_count",
+    ],
+    "purchase": [
+        "airflow_kubernetes_executor_pod_creation_status",
+        "airflow_kubernetes_executor_pod_deletion_status",
+        "airflow_scheduler_scheduler_loop_duration", "airflow_scheduler_heartbeat",
+    ],
+    "error": [
+        "airflow_dag_processing_last_run_seconds_ago", "airflow_dag_processing_last_duration",
+    ],
+}
+# Label, modulus of the user id, prefix; the last remainder leaves the label out.
+PANEL_LABELS = [
+    ("dag_id", 7, "dag_"), ("task_id", 5, "task_"), ("operator", 4, "op_"),
+    ("executor", 3, "executor_"), ("dag_file", 6, "file_"),
+]
+QUANTILES = ["0.5", "0.9", "0.99"]
+
+
+def panel_samples(events: DataFrame) -> DataFrame:
+    """Dashboard metrics: each event reports its whole value under a few names."""
+    user = F.col("user_id")
+    pairs = []
+    for name, m, prefix in PANEL_LABELS:
+        left = user % m
+        pairs += [
+            F.lit(name),
+            F.when(left == m - 1, "").otherwise(F.concat(F.lit(prefix), left.cast("string"))),
+        ]
+    quantile = F.element_at(F.array(*map(F.lit, QUANTILES)), (user % 3 + 1).cast("int"))
+    metrics = F
+    for kind, names in PANEL_METRICS.items():
+        metrics = metrics.when(F.col("event_type") == kind, F.array(*map(F.lit, names)))
+    return events.select(
+        F.explode(metrics).alias("metric"),
+        F.map_filter(
+            F.create_map(*pairs, F.lit("quantile"), quantile), lambda _, v: v != ""
+        ).alias("labels"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        (F.floor("value") + 1).cast("double").alias("value"),
+    )
+
+
 def bronze(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     def table(n: str) -> DataFrame:
         return given(spark, sf_dir, n)

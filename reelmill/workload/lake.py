@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.metrics import instant_vector
 from ..plans import gold, silver, staging
 from ..session import configure, stage
 from . import adapters
 
+# Samples of a series are hours apart in the given events, so the queries look back
+# a day every six hours where a dashboard would look back minutes.
+STEP, LOOKBACK = 6 * 3600, 24 * 3600
+
 _lakes: dict[tuple[str, str], "Lake"] = {}
 
 
@@ -63,6 +68,10 @@ class Lake:
         if name not in self._stored:
             if name == "samples":
                 df = adapters.samples(self.given("events"))
+            elif name == "panel_samples":
+                df = adapters.panel_samples(self.given("events"))
+            elif name == "panel_vector":
+                df = instant_vector(self.stored("panel_samples"), STEP, LOOKBACK)
             elif name in ("movies", "ratings", "tags", "links"):
                 df = self.silver(name)
             else:
