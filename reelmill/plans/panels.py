@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import float_divide
 from ..operators.metrics import (
     instant_vector,
     label,
@@ -133,6 +134,72 @@ def run_panel(
     )
 
 
+GROUPED = ("sum", "max", "ratio")
+
+
+def _conditions(panel: Panel, metric: str, dag_ids: list[str] | None) -> Column:
+    test = F.col("metric") == metric
+    for name in panel.present:
+        test = test & (label(name) != "")
+    for name in panel.absent:
+        test = test & (label(name) == "")
+    if panel.quantile is not None:
+        test = test & (label("quantile") == panel.quantile)
+    if panel.selectable and dag_ids is not None:
+        test = test & label("dag_id").isin(dag_ids)
+    return test
+
+
+def _grouped_panels(
+    vector: DataFrame, panels: list[Panel], dag_ids: list[str] | None
+) -> DataFrame:
+    """All sum, max and ratio panels from one scan and one shuffle of the vector.
+
+    Each value is handed to the panels it belongs to; a ratio has its numerator in
+    slot 0 and its denominator in slot 1 of the same group.
+    """
+    entries = [
+        F.when(
+            _conditions(p, metric, dag_ids),
+            F.struct(
+                F.lit(p.name).alias("panel"),
+                (label(p.by) if p.by else F.lit("")).alias("key"),
+                F.lit(slot).alias("slot"),
+            ),
+        )
+        for p in panels
+        for slot, metric in enumerate(p.metrics)
+    ]
+    used = sorted({m for p in panels for m in p.metrics})
+    in_slot = [F.when(F.col("entry.slot") == i, F.col("value")) for i in (0, 1)]
+    groups = (
+        vector.where(F.col("metric").isin(used))
+        .select("t", "value", F.explode(F.array_compact(F.array(*entries))).alias("entry"))
+        .groupBy("t", F.col("entry.panel").alias("panel"), F.col("entry.key").alias("key"))
+        .agg(
+            F.sum(in_slot[0]).alias("total"),
+            F.max(in_slot[0]).alias("greatest"),
+            F.sum(in_slot[1]).alias("divisor"),
+        )
+    )
+    shape = {kind: [p.name for p in panels if p.shape == kind] for kind in GROUPED}
+    is_ratio = F.col("panel").isin(shape["ratio"])
+    value = (
+        F.when(F.col("panel").isin(shape["max"]), F.col("greatest"))
+        .when(is_ratio, float_divide("total", "divisor"))
+        .otherwise(F.col("total"))
+    )
+    text = F
+    for p in panels:
+        before, _, after = p.legend.partition("{{" + (p.by or "") + "}}")
+        filled = F.concat(F.lit(before), F.col("key"), F.lit(after)) if p.by else F.lit(p.legend)
+        text = text.when(F.col("panel") == p.name, filled)
+    matched = F.col("total").isNotNull() & (~is_ratio | F.col("divisor").isNotNull())
+    return groups.where(matched).select(
+        "panel", text.alias("legend"), "t", value.alias("value")
+    )
+
+
 def run_dashboard(
     samples: DataFrame,
     vector: DataFrame | None = None,
@@ -146,12 +213,14 @@ def run_dashboard(
     """All panels.  Pass a stored ``vector`` to have it worked out only once."""
     if vector is None:
         vector = instant_vector(samples, step, lookback)
-    return union_all(
-        *[
-            run_panel(p, samples, vector, step=step, dag_ids=dag_ids, rate_range=rate_range)
-            for p in panels
-        ]
-    )
+    dag_ids = None if dag_ids is None else list(dag_ids)
+    grouped = [p for p in panels if p.shape in GROUPED]
+    single = [
+        run_panel(p, samples, vector, step=step, dag_ids=dag_ids, rate_range=rate_range)
+        for p in panels
+        if p.shape not in GROUPED
+    ]
+    return union_all(_grouped_panels(vector, grouped, dag_ids), *single)
 
 
 def dag_choices(samples: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def src_insert_ignore(lake: Lake) -> DataFrame:
     """Catalogue entries from links, then from ratings for movies not listed yet."""
     listed = lake.bronze("links").select("movieid", F.lit("listed").alias("origin"))
     seen = lake.bronze("ratings").select(
-        "movieid", F.format_string("seen at %d", "timestamp").alias("origin"), "timestamp"
+        "movieid", F.concat(F.lit("seen at "), F.col("timestamp").cast("string")).alias("origin"), "timestamp"
     )
     return merge.insert_ignore(listed, seen, ["movieid"], ["timestamp"])
 
@@ -207,7 +207,9 @@ def prj_rename(lake: Lake) -> DataFrame:
 
 @query
 def prj_star(lake: Lake) -> DataFrame:
-    return lake.bronze("movies").select("*", F.length("title").alias("title_length"))
+    return lake.bronze("movies").select(
+        "*", F.length("title").cast("bigint").alias("title_length")
+    )
 
 
 @query
@@ -659,9 +661,10 @@ scalar("fn_popularity", from_stored("user_behavior"), ["user_id"], lambda: dict(
 
 @query
 def fn_split(lake: Lake) -> DataFrame:
-    return lake.bronze("movies").select(
+    parts = lake.bronze("movies").select(
         "movieid", F.posexplode(text.split_literal("genres", "|")).alias("pos", "genre")
     )
+    return parts.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query
