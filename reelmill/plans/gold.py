@@ -61,7 +61,11 @@ def band_sums(weight: str = "n") -> list:
 
 def rating_profile(ratings: DataFrame, key: str, ordered: list[str]) -> DataFrame:
     """Count, spread, bands, first and last rating per key, plus the median of
-    ``ordered[0]``, all from the counts per (key, *ordered)."""
+    ``ordered[0]``, all from the counts per (key, *ordered).
+
+    A rating has one decimal (46 values in range) and a day 24 hours, so a key keeps
+    at most 46 or 1104 of those counts, however many ratings it has.
+    """
     counts = value_counts(
         ratings, [key], ordered,
         F.min("rating_datetime").alias("first_at"),
@@ -234,29 +238,34 @@ TRENDS = StructType(
 
 
 def temporal_trends(ratings: DataFrame) -> DataFrame:
-    """Monthly, hourly and weekday rows.
+    """Monthly, hourly and weekday rows from one scan.
 
-    One pass collapses the ratings to the calendar cells (month, hour, weekday) with
-    their rating values; the three grains are rolled up from those.
+    Each task sends on a few hundred partial rows, one per month and band, hour and
+    weekday it saw, whatever the number of ratings.
     """
-    month = ["year", "month"]
-    cells = value_counts(ratings, [*month, "hour_of_day", "day_of_week"], ["rating"])
-    grains = cells.groupingSets(
-        [[F.col("year"), F.col("month")], [F.col("hour_of_day")], [F.col("day_of_week")]],
-        "year", "month", "hour_of_day", "day_of_week",
+    cell = ["year", "month", "hour_of_day", "day_of_week"]
+    year, month, hour, day, band = (F.col(c) for c in [*cell, "rating_category"])
+    parts = ratings.groupingSets(
+        [[year, month, band], [hour], [day]], *cell, "rating_category"
     ).agg(
         F.grouping_id().alias("grain"),
+        F.count("*").alias("n"),
+        F.sum("rating").alias("s"),
+    )
+    # grouping_id has a bit per key that a grain leaves out, in key order.
+    monthly, hourly, weekday = 0b00110, 0b11011, 0b11101
+    grains = parts.groupBy("grain", *cell).agg(
         F.sum("n").alias("n"),
-        F.sum(F.col("rating") * F.col("n")).alias("s"),
-        *band_sums(),
+        F.sum("s").alias("s"),
+        *[F.sum(F.when(band == b, F.col("n")).otherwise(0)).alias(band_column(b)) for b in BANDS],
+    )
+    active = distinct_by(
+        ratings, ["year", "month"], active_users="user_id", movies_rated="movie_id"
     )
-    # grouping_id has a bit per column that a grain leaves out: year, month, hour, day.
-    monthly, hourly, weekday = 0b0011, 0b1101, 0b1110
-    active = distinct_by(ratings, month, active_users="user_id", movies_rated="movie_id")
     is_monthly = F.col("grain") == monthly
     rolled = (
         grains.where(~is_monthly | F.col("year").isNotNull())
-        .join(active.withColumn("grain", F.lit(monthly)), [*month, "grain"], "left")
+        .join(active.withColumn("grain", F.lit(monthly)), ["year", "month", "grain"], "left")
         .withColumn("hour_or_day", F.coalesce("hour_of_day", "day_of_week"))
         .select(
             F.when(is_monthly, "monthly")
