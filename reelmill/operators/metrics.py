@@ -5,9 +5,9 @@ set, where an empty label is the same as an absent one.  Evaluation times lie on
 the multiples of ``step`` since the epoch, and a look-back of L seconds at time t
 covers the samples in (t - L, t].
 
-Nothing here sorts or gathers a whole series: samples are first collapsed to one
-row per series and short time bucket, and each such row is handed to the fixed
-number of evaluation times that can see it.
+Nothing here sorts or gathers the samples of a whole series: they are first collapsed
+to one row per series and time bucket.  What is then ordered per series has at most
+one row per evaluation time, however many samples the series has.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ def label(name: str) -> Column:
 
 def canonical(labels: ColumnLike = "labels") -> Column:
     """The label set as a sorted array, usable as a grouping and join key."""
-    return F.array_sort(F.map_entries(F.map_filter(as_col(labels), lambda _, v: v != "")))
+    given = as_col(labels)
+    filled = F.map_filter(given, lambda _, v: v != "")
+    # The filter is interpreted per entry, so only maps that need it go through it.
+    has_empty = F.array_contains(F.map_values(given), "")
+    return F.sort_array(F.map_entries(F.when(has_empty, filled).otherwise(given)))
 
 
 def match_labels(
@@ -83,8 +87,14 @@ def legend(df: DataFrame, template: str, name: str = "legend") -> DataFrame:
     return df.withColumn(name, F.concat(*parts) if parts else F.lit(""))
 
 
-def _micros(ts: ColumnLike = "ts") -> Column:
-    return F.unix_micros(as_col(ts))
+# Grouping keys of a series.  The hash adds nothing to them but sorts fast.
+SERIES = ["series_hash", "metric", "series"]
+
+
+def _keyed(samples: DataFrame) -> DataFrame:
+    return samples.select(
+        "metric", canonical().alias("series"), F.unix_micros("ts").alias("us"), "value"
+    ).withColumn("series_hash", F.xxhash64("metric", "series"))
 
 
 def _floor_to(us: Column, width: int) -> Column:
@@ -95,33 +105,35 @@ def _ceil_to(us: Column, width: int) -> Column:
     return us + F.pmod(-us, F.lit(width))
 
 
+def _carried(states: DataFrame, width: int, reach: Column) -> DataFrame:
+    """Repeat each state at the following multiples of ``width`` (column ``at``), as
+    far as it reaches or until the series has its next state (column ``own``)."""
+    following = F.lead("own").over(Window.partitionBy(*SERIES).orderBy("own")) - width
+    return states.withColumn("until", F.least(following, reach)).withColumn(
+        "at", F.explode(F.sequence("own", "until", F.lit(width)))
+    )
+
+
 def instant_vector(samples: DataFrame, step: int, lookback: int) -> DataFrame:
     """Per series and evaluation time the latest sample in the look-back.
 
     A series has one sample per instant; output is (metric, labels, t, value).
     """
     step_us, back_us = step * MICROS, lookback * MICROS
-    latest = [F.max_by("value", "us").alias("value"), F.max("us").alias("us")]
     us = F.col("us")
-    # First the latest sample between two evaluation times, as partial aggregation.
+    # The latest sample between two evaluation times, by partial aggregation; of the
+    # times from there on it is seen at those before the next such sample.
     newest = (
-        samples.select("metric", canonical().alias("series"), _micros().alias("us"), "value")
-        .groupBy("metric", "series", _ceil_to(us, step_us).alias("seen"))
-        .agg(*latest)
+        _keyed(samples)
+        .groupBy(_ceil_to(us, step_us).alias("own"), *SERIES)
+        .agg(F.max_by("value", "us").alias("value"), F.max("us").alias("us"))
     )
-    # Then each of those at every time that still sees it: lookback / step at most.
     last_seen = _floor_to(us + back_us - 1, step_us)
-    return (
-        newest.where(last_seen >= F.col("seen"))
-        .withColumn("at", F.explode(F.sequence("seen", last_seen, F.lit(step_us))))
-        .groupBy("metric", "series", "at")
-        .agg(latest[0])
-        .select(
-            "metric",
-            F.map_from_entries("series").alias("labels"),
-            F.timestamp_micros("at").alias("t"),
-            "value",
-        )
+    return _carried(newest.where(last_seen >= F.col("own")), step_us, last_seen).select(
+        "metric",
+        F.map_from_entries("series").alias("labels"),
+        F.timestamp_micros("at").alias("t"),
+        "value",
     )
 
 
@@ -252,22 +264,23 @@ def rate(
 ) -> DataFrame:
     """Reset-aware counter rate per series over (t - range, t] at every step.
 
-    Samples are ordered only inside buckets of at most ``resolution`` seconds.  A
-    range is then put together from at most range / resolution bucket states.
+    Samples are ordered only inside buckets of at most ``resolution`` seconds.  The
+    bucket states are folded into strides, the longest stretches that all ranges
+    consist of, and a range is a sliding window over the strides of its series.
     """
+    stride = math.gcd(range_s, step) * MICROS
     width = bucket_width(range_s, step, resolution) * MICROS
     step_us, range_us = step * MICROS, range_s * MICROS
     us = F.col("us")
-    series = ["metric", "series"]
 
-    per_bucket = Window.partitionBy(*series, "bucket").orderBy("us")
+    per_bucket = Window.partitionBy("bucket", *SERIES).orderBy("us")
     before = F.lag("value").over(per_bucket)
     # A bucket is named by its upper end: it holds the samples in (bucket - width, bucket].
     states = (
-        samples.select("metric", canonical().alias("series"), _micros().alias("us"), "value")
+        _keyed(samples)
         .withColumn("bucket", _ceil_to(us, width))
         .withColumn("dropped", F.when(F.col("value") < before, before).otherwise(0.0))
-        .groupBy(*series, "bucket")
+        .groupBy("bucket", *SERIES)
         .agg(
             F.min("us").alias("first_us"),
             F.max("us").alias("last_us"),
@@ -276,20 +289,51 @@ def rate(
             F.count("*").alias("n"),
             F.sum("dropped").alias("resets"),
         )
+        .withColumnRenamed("bucket", "own")
     )
-    first_at = _ceil_to(F.col("bucket"), step_us)
-    last_at = _floor_to(F.col("bucket") - width + range_us, step_us)
-    merged = (
-        states.where(last_at >= first_at)
-        .withColumn("at", F.explode(F.sequence(first_at, last_at, F.lit(step_us))))
-        .groupBy(*series, "at")
-        .agg(fold_states(F.sort_array(F.collect_list(F.struct(*STATE)))).alias("state"))
-        .where(F.col("state.n") >= 2)
+    if width < stride:
+        # At most stride / width states each.
+        folded = fold_states(F.sort_array(F.collect_list(F.struct(*STATE))))
+        states = (
+            states.groupBy(_ceil_to(F.col("own"), stride).alias("own"), *SERIES)
+            .agg(folded.alias("state"))
+            .select(*SERIES, "own", "state.*")
+        )
+    per_series = Window.partitionBy(*SERIES).orderBy("own")
+    ended = F.lag("last_v").over(per_series)
+    states = states.withColumn("drop", F.when(F.col("first_v") < ended, ended).otherwise(0.0))
+    # A range also ends where nothing was sampled, up to a range after the last state.
+    strides = _carried(states, stride, F.col("own") - stride + range_us)
+    is_own = F.col("at") == F.col("own")
+    strides = strides.select(
+        *SERIES, "at", *[F.when(is_own, F.col(c)).alias(c) for c in [*STATE, "drop"]]
     )
+    ranges = Window.partitionBy(*SERIES).orderBy("at").rangeBetween(stride - range_us, 0)
+    # The drop before the first stride of a range lies outside of it.
+    dropped = F.sum(F.col("resets") + F.col("drop")).over(ranges)
+    dropped_before = F.first("drop", ignorenulls=True).over(ranges)
+    parts = {
+        "first_us": F.min("first_us"),
+        "last_us": F.max("last_us"),
+        "first_v": F.first("first_v", ignorenulls=True),
+        "last_v": F.last("last_v", ignorenulls=True),
+        "n": F.sum("n"),
+    }
     at = F.col("at")
-    return merged.select(
-        "metric",
-        F.map_from_entries("series").alias("labels"),
-        F.timestamp_micros("at").alias("t"),
-        rate_of(F.col("state"), at - range_us, at, extrapolate).alias("value"),
+    return (
+        strides.select(
+            *SERIES,
+            "at",
+            F.struct(
+                *[agg.over(ranges).alias(name) for name, agg in parts.items()],
+                (dropped - dropped_before).alias("resets"),
+            ).alias("state"),
+        )
+        .where((F.pmod(at, F.lit(step_us)) == 0) & (F.col("state.n") >= 2))
+        .select(
+            "metric",
+            F.map_from_entries("series").alias("labels"),
+            F.timestamp_micros("at").alias("t"),
+            rate_of(F.col("state"), at - range_us, at, extrapolate).alias("value"),
+        )
     )
