@@ -105,8 +105,10 @@ def literal_rows(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame
 
 
 def with_all_labels(stats: DataFrame, label: str, labels: Sequence[str]) -> DataFrame:
-    """Keep one row per label, also where the grouping found nothing.
+    """One row per label, also where the grouping found nothing.
 
-    Both sides hold at most ``len(labels)`` rows.
+    ``stats`` has one row per label at most, so what is broadcast is no longer than
+    ``labels``.
     """
-    return literal_rows(stats, label, labels).join(F.broadcast(stats), label, "left")
+    known = stats.where(F.col(label).isin(list(labels)))
+    return literal_rows(stats, label, labels).join(F.broadcast(known), label, "left")

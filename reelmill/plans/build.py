@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators.quality import enforce, not_null, unique
 from ..schemas import BRONZE
-from ..sources.catalog import ensure_database, materialize, register_external, schema_for
+from ..sources.catalog import (
+    drop_old_versions,
+    ensure_database,
+    materialize,
+    register_external,
+    schema_for,
+)
 from . import gold, silver, staging
 from .serving import GOLD_KEYS
 
@@ -58,7 +64,8 @@ def run_build(
     """Build every table and return them by model name.
 
     A table is checked after it is written and before it is published; a violation
-    stops the run and leaves the earlier table in place.
+    stops the run and leaves the earlier table in place.  The version before the
+    published one is kept for queries that still read it.
     """
     layers = {"silver": "silver", "gold": "gold"} | dict(layers or {})
     db = {layer: schema_for(name, default_db) for layer, name in layers.items()}
@@ -80,6 +87,7 @@ def run_build(
             stamped(ordered, run_ts), db[layer], model, root=warehouse,
             check=lambda written: enforce(model_checks(model, written)),
         )
+        drop_old_versions(spark, db[layer], model, keep=1)
         return built[model].drop("processed_at")
 
     movies, ratings, tags, links = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from ..operators.metrics import (
     vec_sum,
 )
 from ..operators.sets import union_all
+from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -208,11 +210,24 @@ def run_dashboard(
     lookback: int = 300,
     dag_ids: Iterable[str] | None = None,
     rate_range: int = RATE_RANGE,
+    start: datetime | None = None,
+    end: datetime | None = None,
     panels: list[Panel] = PANELS,
 ) -> DataFrame:
-    """All panels.  Pass a stored ``vector`` to have it worked out only once."""
+    """All panels, over the whole samples or from ``start`` to ``end``.
+
+    The panels share one instant vector: ``vector`` if given, else it is worked out
+    and stored first.
+    """
+    used = sorted({m for p in panels for m in p.metrics})
+    samples = samples.where(F.col("metric").isin(used))
+    if start is not None:
+        reach = timedelta(seconds=max(lookback, rate_range))
+        samples = samples.where(F.col("ts") > F.lit(start - reach))
+    if end is not None:
+        samples = samples.where(F.col("ts") <= F.lit(end))
     if vector is None:
-        vector = instant_vector(samples, step, lookback)
+        vector = stage(instant_vector(samples, step, lookback), "vector")
     dag_ids = None if dag_ids is None else list(dag_ids)
     grouped = [p for p in panels if p.shape in GROUPED]
     single = [
@@ -220,7 +235,10 @@ def run_dashboard(
         for p in panels
         if p.shape not in GROUPED
     ]
-    return union_all(_grouped_panels(vector, grouped, dag_ids), *single)
+    rows = union_all(_grouped_panels(vector, grouped, dag_ids), *single)
+    if start is not None:
+        rows = rows.where(F.col("t") >= F.lit(start))
+    return rows if end is None else rows.where(F.col("t") <= F.lit(end))
 
 
 def dag_choices(samples: DataFrame) -> DataFrame:

@@ -78,19 +78,24 @@ def table_location(spark: SparkSession, db: str, name: str) -> str:
     return detail.where(F.col("col_name") == "Location").first()["data_type"]
 
 
-def drop_old_versions(spark: SparkSession, db: str, name: str) -> int:
-    """Delete the folders a table was in before; call when no reader is left on them."""
-    current = table_location(spark, db, name)
+def drop_old_versions(spark: SparkSession, db: str, name: str, keep: int = 0) -> int:
+    """Delete the folders a table was in before, but for the ``keep`` latest of them.
+
+    Whoever still reads a dropped folder fails, so keep one while readers may run.
+    """
     path_type = spark._jvm.org.apache.hadoop.fs.Path
-    live = path_type(current)
+    live = path_type(table_location(spark, db, name))
     fs = live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dropped = 0
-    for status in fs.listStatus(live.getParent()):
-        old = status.getPath()
-        if old.getName().startswith("v-") and old.getName() != live.getName():
-            fs.delete(old, True)
-            dropped += 1
-    return dropped
+    old = [
+        status
+        for status in fs.listStatus(live.getParent())
+        if status.getPath().getName().startswith("v-")
+        and status.getPath().getName() != live.getName()
+    ]
+    old.sort(key=lambda status: status.getModificationTime(), reverse=True)
+    for status in old[keep:]:
+        fs.delete(status.getPath(), True)
+    return len(old[keep:])
 
 
 def insert_into(df: DataFrame, db: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ class Lake:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Lake:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (f"{spark.sparkContext.applicationId}/{id(spark)}", sf_dir)
         if key not in _lakes:
             _lakes[key] = cls(spark, sf_dir)
         return _lakes[key]

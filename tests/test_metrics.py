@@ -178,17 +178,26 @@ def panel_points(rng):
 def test_dashboard_equals_its_panels(spark, dag_ids):
     samples = frame(spark, panel_points(random.Random(11)))
     vector = metrics.instant_vector(samples, 30, 300).cache()
-    together = panels.run_dashboard(samples, vector, dag_ids=dag_ids)
-    assert len(panels.PANELS) == 24
+    together = defaultdict(list)
+    for r in panels.run_dashboard(samples, vector, dag_ids=dag_ids).collect():
+        together[r["panel"]].append((r["legend"], r["t"], r["value"]))
+    assert len(panels.PANELS) == len(together) == 24
     for panel in panels.PANELS:
         alone = panels.run_panel(panel, samples, vector, step=30, dag_ids=dag_ids)
         want = sorted((r["legend"], r["t"], r["value"]) for r in alone.collect())
-        got = together.where(F.col("panel") == panel.name).collect()
-        assert sorted((r["legend"], r["t"], r["value"]) for r in got) == want
-        assert want, panel.name
+        assert sorted(together[panel.name]) == want
     vector.unpersist()
 
 
+def test_dashboard_of_a_time_range(spark):
+    samples = frame(spark, panel_points(random.Random(12)))
+    whole = panels.run_dashboard(samples)
+    part = panels.run_dashboard(samples, start=at(400), end=at(550))
+    inside = whole.where(F.col("t").between(F.lit(at(400)), F.lit(at(550))))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(part) == order(inside) != []
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_stream_equals_batch_on_closed_ranges(spark, batches):
     points = sorted(random_points(random.Random(4), 300), key=lambda p: p[2])
