@@ -72,6 +72,8 @@ class Lake:
                 df = adapters.panel_samples(self.given("events"))
             elif name == "panel_vector":
                 df = instant_vector(self.stored("panel_samples"), STEP, LOOKBACK)
+            elif name.startswith("bronze_"):
+                df = self.bronze(name.removeprefix("bronze_"))
             elif name in ("movies", "ratings", "tags", "links"):
                 df = self.silver(name)
             else:

@@ -760,16 +760,17 @@ def dq_reconcile(lake: Lake) -> DataFrame:
     """Bronze against silver: the tables that filters made smaller."""
     names = ["movies", "ratings", "tags", "links"]
     return quality.reconcile(
-        {n: lake.bronze(n) for n in names}, {n: lake.stored(n) for n in names}
+        {n: lake.stored(f"bronze_{n}") for n in names}, {n: lake.stored(n) for n in names}
     )
 
 
 @query
 def dq_constraints(lake: Lake) -> DataFrame:
+    """Source constraints on landed ratings; each check scans the columns it needs."""
     return quality.check_constraints(
-        lake.bronze("ratings"),
+        lake.stored("bronze_ratings"),
         pk=SOURCE_KEYS["ratings"],
-        fks={"movieid": (lake.bronze("links"), "movieid")},
+        fks={"movieid": (lake.stored("bronze_links"), "movieid")},
         required=["rating"],
     )
 
