@@ -5,10 +5,12 @@ import re
 import pytest
 from conftest import SMALL
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, connect
+from reelmill.workload.oracles import oracle_sql
+from reelmill.workload.queries import registered
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = registered(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
