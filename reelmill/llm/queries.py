@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, scratch_path, stage
+from .chat import LEARNED_ROLE, digest_chat, format_chat
 from .common import table
 from .packing import pack
 from .quality import quality_rules
+from .token_files import read_token_files, write_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,6 +29,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_files")
+    write_token_files(table(spark, sf_dir, "documents"), path, BYTE_BPE, end_id=0)
+    return read_token_files(spark, path)
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1).select(
@@ -43,3 +52,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = f"<|im_end|><|im_start|>{LEARNED_ROLE} ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", hard), (-1, 1, LEARNED_ROLE, hard)], turns.schema
+    )
+    return digest_chat(stage(format_chat(turns.unionByName(extra)), "chat"))

@@ -12,7 +12,7 @@ with d as (
   select doc_id, coalesce(text, '') as t from documents
 ), w as (
   select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
-    list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
   from d
 ), pos as (
   select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8
@@ -29,9 +29,9 @@ with d as (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
     coalesce(c.n, 0) as n_repeat_words,
-    len(list_filter(ws, x -> lower(regexp_replace(x, '[.,;:!?]', '', 'g')) in ({_STOP}))) as n_stop_words,
-    len(list_filter(ls, l -> regexp_matches(l, '^ *[-*•]'))) as n_bullet_lines,
-    len(list_filter(ls, l -> regexp_matches(l, '(\.\.\.|…) *$'))) as n_cut_lines
+    len(list_filter(ws, lambda x: lower(regexp_replace(x, '[.,;:!?]', '', 'g')) in ({_STOP}))) as n_stop_words,
+    len(list_filter(ls, lambda l: regexp_matches(l, '^ *[-*•]'))) as n_bullet_lines,
+    len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…) *$'))) as n_cut_lines
   from w left join covered c on c.doc_id = w.doc_id
 ), b as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m
