@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path, stage
 from .chat import LEARNED_ROLE, digest_chat, format_chat
 from .common import table
+from .langid import fit_profiles, identify
 from .packing import pack
 from .quality import quality_rules
 from .token_files import read_token_files, write_token_files
@@ -29,6 +30,20 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def held_out() -> Column:
+    """Documents no model may learn from: a fifth, by a checksum of the id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = fit_profiles(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_files")
