@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import configure, scratch_path, stage
 from .chat import LEARNED_ROLE, digest_chat, format_chat
 from .common import table
+from .decontaminate import contamination
 from .langid import fit_profiles, identify
 from .packing import pack
 from .quality import quality_rules
@@ -69,6 +70,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = f"<|im_end|><|im_start|>{LEARNED_ROLE} ok"

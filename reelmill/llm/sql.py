@@ -44,5 +44,36 @@ select *, not base_failed
   and 100 * n_bullet_lines <= 90 * n_lines
   and 100 * n_cut_lines <= 30 * n_lines as kept
 from b
+""",
+    "op8_decontamination": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), ln as (
+  select distinct least(10, len(ws)) as n from b where len(ws) > 0
+), win as (
+  select distinct item_id, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as win,
+    least(10, len(ws)) as n
+  from (select *, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from b where len(ws) > 0) x
+), pos as (
+  select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, ln where len(ws) >= n
+), hit as (
+  select p.doc_id, p.i, p.n, w.item_id
+  from (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as win from pos) p
+  join win w on w.win = p.win and w.n = p.n
+), cov as (
+  select doc_id, count(distinct k) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as k from hit) x group by doc_id
+), its as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+  from (select distinct doc_id, cast(item_id as varchar) as item from hit) x group by doc_id
+)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
+  coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+  n_hit is not null as contaminated
+from d left join cov on cov.doc_id = d.doc_id left join its on its.doc_id = d.doc_id
 """,
 }
