@@ -12,6 +12,7 @@ from ..session import configure, scratch_path, stage
 from .chat import LEARNED_ROLE, digest_chat, format_chat
 from .common import table
 from .decontaminate import contamination
+from .jaccard import jaccard_components
 from .langid import fit_profiles, identify
 from .packing import pack
 from .quality import quality_rules
@@ -70,6 +71,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
