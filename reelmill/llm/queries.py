@@ -16,6 +16,7 @@ from .jaccard import jaccard_components
 from .langid import fit_profiles, identify
 from .packing import pack
 from .quality import quality_rules
+from .secrets import find_secrets
 from .token_files import read_token_files, write_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,3 +98,16 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", hard), (-1, 1, LEARNED_ROLE, hard)], turns.schema
     )
     return digest_chat(stage(format_chat(turns.unionByName(extra)), "chat"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "start",
+        F.length("value").alias("length"),
+        F.sha2("value", 256).alias("value_sha256"),
+        "score",
+        "is_secret",
+    )
