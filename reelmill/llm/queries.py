@@ -14,6 +14,7 @@ from .common import table
 from .decontaminate import contamination
 from .jaccard import jaccard_components
 from .langid import fit_profiles, identify
+from .licenses import scan_licenses
 from .packing import pack
 from .quality import quality_rules
 from .secrets import find_secrets
@@ -54,6 +55,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1).select(

@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from .licenses import COPYRIGHT_LINE, KNOWN, PUNCTUATION, SPELLINGS
 from .quality import STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _squeezed(text: str) -> str:
+    plain = f"regexp_replace(lower({text}), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    return f"regexp_replace({plain}, {_quoted(PUNCTUATION)}, ' ', 'g')"
+
+
+def _spelled(text: str) -> str:
+    text = f"regexp_replace({text}, '[ \\n]+', ' ', 'g')"
+    for word, same in SPELLINGS:
+        text = f"regexp_replace({text}, '\\b{word}\\b', '{same}', 'g')"
+    return f"trim({text})"
+
+
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+
 SQL: dict[str, str] = {
     "op5_quality_rules": rf"""
 with d as (
@@ -75,5 +96,28 @@ select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
   coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
   n_hit is not null as contaminated
 from d left join cov on cov.doc_id = d.doc_id left join its on its.doc_id = d.doc_id
+""",
+    "op3_license_scan": f"""
+with known as (
+  select sha256({_spelled(_squeezed("text"))}) as digest, min(license) as license
+  from (values {_KNOWN}) k(license, text) group by 1
+), d as (
+  select doc_id, {_squeezed("coalesce(text, '')")} as s from documents
+), unit as (
+  select doc_id, true as entire, s from d
+  union all
+  select doc_id, false, unnest(string_split(s, chr(10))) from d
+), hit as (
+  select doc_id, entire, license
+  from (select doc_id, entire, sha256({_spelled("s")}) as digest from unit where length(s) < 10000) u
+  join known on known.digest = u.digest
+), found as (
+  select doc_id, min(case when entire then license end) as license,
+    count(*) filter (not entire) as n,
+    string_agg(distinct license, ',' order by license) filter (not entire) as names
+  from hit group by doc_id
+)
+select d.doc_id, license, coalesce(n, 0) as n_license_lines, coalesce(names, '') as line_licenses
+from d left join found f on f.doc_id = d.doc_id
 """,
 }
