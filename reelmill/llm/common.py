@@ -29,6 +29,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+def held_out(id_col: str) -> Column:
+    """Documents no model may learn from: a fifth, by a checksum of the id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 #: Rows of one long (with a little company) that a broadcast may hold: some 64 MB built.
 BROADCAST_ROWS = 1_000_000
 

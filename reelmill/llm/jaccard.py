@@ -385,3 +385,37 @@ def jaccard_components(
             F.coalesce("component", "id").alias("component_id"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of smallest id.
+
+    Rows that repeat an id are one document: the first by text stays.  Documents without
+    words, and rows without an id, are linked with nothing and stay.
+    """
+    found = stage(jaccard_components(docs, id_col, text_col), "components")
+    linked_away = found.where(F.col(id_col) != F.col("component_id")).select(
+        F.col(id_col).alias("__gone")
+    )
+    gone = broadcast_if_small(stage(linked_away.distinct(), "gone"))
+    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    repeated = stage(
+        found.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("__again"))
+        .count()
+        .where("count > 1")
+        .select("__again"),
+        "repeated",
+    )
+    if repeated.isEmpty():
+        return left
+    again = broadcast_if_small(repeated)
+    once = left.join(again, F.col(id_col) == F.col("__again"), "left_anti")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    several = (
+        left.join(again, F.col(id_col) == F.col("__again"), "left_semi")
+        .withColumn("__nth", F.row_number().over(first))
+        .where("__nth = 1")
+        .drop("__nth")
+    )
+    return once.unionByName(several)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path, stage
 from .chat import LEARNED_ROLE, digest_chat, format_chat
-from .common import table
+from .common import held_out, table
 from .decontaminate import contamination
 from .jaccard import jaccard_components
 from .langid import fit_profiles, identify
@@ -19,8 +19,10 @@ from .packing import pack
 from .quality import quality_rules
 from .secrets import find_secrets
 from .token_files import read_token_files, write_token_files
+from .unigram import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,17 +36,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def held_out() -> Column:
-    """Documents no model may learn from: a fifth, by a checksum of the id."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    profiles = fit_profiles(docs.where(~held_out()))
+    profiles = fit_profiles(docs.where(~held_out("doc_id")))
     return identify(docs.select("doc_id", "text"), profiles).select(
-        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score"
     )
 
 
@@ -83,6 +80,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

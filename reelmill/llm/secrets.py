@@ -305,3 +305,24 @@ def redact(
         )
 
     return F.when(text.isNotNull(), scan(text, path, joined))
+
+
+def redact_secrets(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path_col: str = "source",
+    size_col: str = "n_chars",
+    per_label: int = 5000,
+) -> DataFrame:
+    """``docs``, all columns, with secrets replaced in texts and ``size_col`` to match.
+
+    The size of a text without secrets stays as it is.
+    """
+    findings = stage(candidates(docs, id_col, text_col, path_col), "findings")
+    text, shown = F.col(text_col), F.col("__shown")
+    clean = docs.withColumn("__shown", redact(text, F.col(path_col), fit_forest(findings, per_label)))
+    if size_col in docs.columns:
+        size = F.length(shown).cast(docs.schema[size_col].dataType)
+        clean = clean.withColumn(size_col, F.when(shown != text, size).otherwise(F.col(size_col)))
+    return clean.withColumn(text_col, shown).select(*docs.columns)
