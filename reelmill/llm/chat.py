@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED_ROLE = "assistant"
 #: Bytes assembled at once, and the length from which a segment is copied as a slice.
@@ -136,7 +138,8 @@ def format_chat(
                     names=[id_col, turn_col, "formatted", "loss_start", "loss_length"],
                 )
 
-    return turns.select(id_col, turn_col, role_col, text_col).mapInArrow(
+    return map_arrow(
+        turns.select(id_col, turn_col, role_col, text_col),
         run,
         f"`{id_col}` {types[id_col]}, `{turn_col}` {types[turn_col]}, formatted string,"
         " loss_start long, loss_length long",
@@ -187,13 +190,11 @@ def digest_chat(formatted: DataFrame, id_col: str = "conv_id", turn_col: str = "
         if state is not None:
             yield result()
 
-    return (
+    return map_arrow(
         formatted.repartition(F.col(id_col))
         .sortWithinPartitions(id_col, turn_col, "formatted")
-        .select(id_col, "formatted", "loss_start", "loss_length")
-        .mapInArrow(
-            run,
-            f"`{id_col}` {id_type}, n_turns long, turns_sha256 string, loss_chars long,"
-            " loss_sha256 string, formatted_chars long",
-        )
+        .select(id_col, "formatted", "loss_start", "loss_length"),
+        run,
+        f"`{id_col}` {id_type}, n_turns long, turns_sha256 string, loss_chars long,"
+        " loss_sha256 string, formatted_chars long",
     )

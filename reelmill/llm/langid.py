@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import map_arrow
+
 UNKNOWN = "und"
 #: Letters of a text counted together.
 BLOCK = 1 << 20
@@ -122,10 +124,9 @@ def fit_profiles(
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": grams, "n": counts})
 
     frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    sample = _sample(labelled, id_col, lang_col, text_col, per_language, max_languages)
     return (
-        _sample(labelled, id_col, lang_col, text_col, per_language, max_languages)
-        .select("lang", "text")
-        .mapInArrow(run, "lang string, gram long, n long")
+        map_arrow(sample.select("lang", "text"), run, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(frequent) - 1)
@@ -185,4 +186,4 @@ def identify(docs: DataFrame, profiles: list[Row], text_col: str = "text") -> Da
     schema = StructType(
         [*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     )
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

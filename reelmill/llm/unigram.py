@@ -31,6 +31,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 MARK = "▁"
 #: Words up to this length share a trie; its levels are as many.
 LONG = 96
@@ -209,6 +211,6 @@ def token_counts(
                 names=[id_col, "n_words", "n_tokens"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {id_type}, n_words long, n_tokens long"
+    return map_arrow(
+        docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, n_words long, n_tokens long"
     )
