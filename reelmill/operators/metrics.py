@@ -137,6 +137,12 @@ def instant_vector(samples: DataFrame, step: int, lookback: int) -> DataFrame:
     )
 
 
+def greatest(value: ColumnLike) -> Column:
+    """The greatest number; NaN only where there is nothing else, though it sorts last."""
+    value = as_col(value)
+    return F.coalesce(F.max(F.when(~F.isnan(value), value)), F.max(value))
+
+
 def _by_labels(by: Sequence[str]) -> list[Column]:
     return [label(k).alias(k) for k in by]
 
@@ -146,7 +152,7 @@ def vec_sum(vector: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def vec_max(vector: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return vector.groupBy("t", *_by_labels(by)).agg(F.max("value").alias("value"))
+    return vector.groupBy("t", *_by_labels(by)).agg(greatest("value").alias("value"))
 
 
 def vector_ratio(num: DataFrame, den: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -181,10 +187,16 @@ def ratio_series(num: DataFrame, den: DataFrame) -> DataFrame:
 
 
 def reduce_series(vector: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Last non-null and greatest value over time, per label combination."""
+    """Last and greatest value over time, per label combination.
+
+    NULL is no value, and NaN counts only where a series has nothing else.
+    """
     present = vector.where(F.col("value").isNotNull())
+    number = F.when(~F.isnan("value"), F.col("value"))
+    last = F.max_by(number, F.when(number.isNotNull(), F.col("t")))
     return present.groupBy(*by).agg(
-        F.max_by("value", "t").alias("last_value"), F.max("value").alias("max_value")
+        F.coalesce(last, F.max_by("value", "t")).alias("last_value"),
+        greatest("value").alias("max_value"),
     )
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import float_divide
 from ..operators.metrics import (
+    greatest,
     instant_vector,
     label,
+    label_values,
     legend,
     match_labels,
     rate,
@@ -180,7 +182,7 @@ def _grouped_panels(
         .groupBy("t", F.col("entry.panel").alias("panel"), F.col("entry.key").alias("key"))
         .agg(
             F.sum(in_slot[0]).alias("total"),
-            F.max(in_slot[0]).alias("greatest"),
+            greatest(in_slot[0]).alias("greatest"),
             F.sum(in_slot[1]).alias("divisor"),
         )
     )
@@ -244,9 +246,4 @@ def run_dashboard(
 def dag_choices(samples: DataFrame) -> DataFrame:
     """Values the dashboard's DAG variable offers."""
     metric, name = VARIABLE
-    return (
-        match_labels(samples, metric, ne={name: ""})
-        .select(label(name).alias(name))
-        .distinct()
-        .orderBy(name)
-    )
+    return label_values(samples, name, metric)

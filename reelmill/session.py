@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -61,10 +62,34 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+_scratch_roots: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other write uses."""
+    """A path under the shared folder that no other write uses.
+
+    What an application has written under such paths is deleted when its driver ends.
+    """
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/reelmill/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_root(spark)}/reelmill/{app}"
+    if root not in _scratch_roots:
+        _scratch_roots.add(root)
+        atexit.register(drop_scratch, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, root: str) -> None:
+    """Delete an application's scratch folder and the databases that lie in it."""
+    _scratch_roots.discard(root)
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return  # without a session there is no file system to ask
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    inside = fs.makeQualified(path).toUri().getPath()
+    for db in spark.catalog.listDatabases():
+        if f"{inside}/" in (db.locationUri or ""):
+            spark.sql(f"DROP DATABASE IF EXISTS `{db.name}` CASCADE")
+    fs.delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -31,15 +31,35 @@ def ensure_database(spark: SparkSession, db: str, location: str | None = None) -
 def register_external(
     spark: SparkSession, db: str, name: str, path: str, schema: StructType
 ) -> DataFrame:
-    """Register files as a table unless it exists already; nothing is copied."""
+    """Register files as a table unless it exists already; nothing is copied.
+
+    A table that exists is refreshed, so files landed again since are seen.
+    """
     columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {_quoted(db, name)} ({columns}) "
         f"USING parquet LOCATION {_literal(path)}"
     )
+    spark.catalog.refreshTable(_quoted(db, name))
     return spark.table(_quoted(db, name))
 
 
+VERSIONS = "published.versions"
+
+
+def _folder(spark: SparkSession, location: str):
+    """A path and its file system, as the session sees them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def published_versions(spark: SparkSession, db: str, name: str) -> list[str]:
+    """Folder names of the versions a table was published in, oldest first."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(db, name)}").collect()
+    listed = {r["key"]: r["value"] for r in rows}.get(VERSIONS, "")
+    return [v for v in listed.split(",") if v]
+
+
 def materialize(
     df: DataFrame,
     db: str,
@@ -53,23 +73,43 @@ def materialize(
 
     The rows go to a fresh folder first and the catalog is pointed there once they
     are complete and ``check`` raised nothing, so a failed run leaves the old table
-    as it was, and a query may read the table it replaces.  Old folders stay until
-    :func:`drop_old_versions`.
+    as it was and no folder behind, and a query may read the table it replaces.  Old
+    folders stay until :func:`drop_old_versions`.
+
+    With the same columns the new location is one change of the catalog.  With other
+    columns the new table is made under a name of its own first, then the old one is
+    dropped and the new one renamed; should a run break off between these two steps, the
+    complete new table is there under ``<name>__next``.
     """
     spark = df.sparkSession
     table = _quoted(db, name)
-    location = f"{root}/{db}/{name}/v-{uuid.uuid4().hex}"
-    df.write.format(fmt).mode("errorifexists").save(location)
-    if check is not None:
-        check(spark.read.format(fmt).schema(df.schema).load(location))
-    if spark.catalog.tableExists(table):
-        if spark.table(table).schema.simpleString() == df.schema.simpleString():
-            spark.sql(f"ALTER TABLE {table} SET LOCATION {_literal(location)}")
-            spark.catalog.refreshTable(table)
-            return spark.table(table)
-        spark.sql(f"DROP TABLE {table}")
+    version = f"v-{uuid.uuid4().hex}"
+    location = f"{root}/{db}/{name}/{version}"
+    try:
+        df.write.format(fmt).mode("errorifexists").save(location)
+        if check is not None:
+            check(spark.read.format(fmt).schema(df.schema).load(location))
+    except Exception:
+        path, fs = _folder(spark, location)
+        fs.delete(path, True)
+        raise
+    exists = spark.catalog.tableExists(table)
+    versions = ",".join([*(published_versions(spark, db, name) if exists else []), version])
+    if exists and spark.table(table).schema.simpleString() == df.schema.simpleString():
+        spark.sql(f"ALTER TABLE {table} SET LOCATION {_literal(location)}")
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({_literal(VERSIONS)} = {_literal(versions)})")
+        spark.catalog.refreshTable(table)
+        return spark.table(table)
+    made = _quoted(db, f"{name}__next") if exists else table
+    spark.sql(f"DROP TABLE IF EXISTS {_quoted(db, name + '__next')}")
     columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING {fmt} LOCATION {_literal(location)}")
+    spark.sql(
+        f"CREATE TABLE {made} ({columns}) USING {fmt} LOCATION {_literal(location)}"
+        f" TBLPROPERTIES ({_literal(VERSIONS)} = {_literal(versions)})"
+    )
+    if exists:
+        spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"ALTER TABLE {made} RENAME TO {table}")
     return spark.table(table)
 
 
@@ -79,23 +119,23 @@ def table_location(spark: SparkSession, db: str, name: str) -> str:
 
 
 def drop_old_versions(spark: SparkSession, db: str, name: str, keep: int = 0) -> int:
-    """Delete the folders a table was in before, but for the ``keep`` latest of them.
+    """Delete the folders a table was in before, but for the ``keep`` published last.
 
-    Whoever still reads a dropped folder fails, so keep one while readers may run.
+    What was never published, by a run that broke off, goes as well.  Whoever still
+    reads a dropped folder fails, so keep one while readers may run.  No other run
+    may write the same table meanwhile.
     """
-    path_type = spark._jvm.org.apache.hadoop.fs.Path
-    live = path_type(table_location(spark, db, name))
-    fs = live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    live, fs = _folder(spark, table_location(spark, db, name))
+    before = [v for v in published_versions(spark, db, name) if v != live.getName()]
+    kept = {live.getName(), *(before[-keep:] if keep else [])}
     old = [
-        status
+        status.getPath()
         for status in fs.listStatus(live.getParent())
-        if status.getPath().getName().startswith("v-")
-        and status.getPath().getName() != live.getName()
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in kept
     ]
-    old.sort(key=lambda status: status.getModificationTime(), reverse=True)
-    for status in old[keep:]:
-        fs.delete(status.getPath(), True)
-    return len(old[keep:])
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
 
 
 def insert_into(df: DataFrame, db: str, name: str) -> DataFrame:

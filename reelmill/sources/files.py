@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.quality import require_rows
 from ..schemas import BRONZE, conform
+from ..session import stage
 
 
 def read_bronze(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -22,17 +24,35 @@ def ingest_full_refresh(
 ) -> dict[str, str]:
     """Replace ``<root>/<table>/`` with each table's rows, typed as declared.
 
-    Earlier files are removed, so a rerun leaves no duplicates.  The source must
-    not read from the path it is written to.
+    Rows go to a folder beside the table's, which takes its place when they are
+    complete: a rerun leaves no duplicates, a failed one the earlier files, and the
+    source may read from the path it is written to.
     """
     paths = {}
     for name, df in tables.items():
-        paths[name] = f"{root}/{name}"
+        paths[name], fresh = f"{root}/{name}", f"{root}/_next-{name}-{uuid.uuid4().hex}"
         typed = conform(df, schemas[name]) if name in schemas else df
-        typed.write.mode("overwrite").option("compression", "snappy").parquet(paths[name])
+        typed.write.mode("errorifexists").option("compression", "snappy").parquet(fresh)
+        replace_folder(typed.sparkSession, fresh, paths[name])
     return paths
 
 
+def replace_folder(spark: SparkSession, fresh: str, place: str) -> None:
+    """Put a complete folder in the place of another one, which is deleted."""
+    path_type = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = path_type(fresh), path_type(place)
+    aside = path_type(f"{fresh}-old")
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had_old = fs.exists(old)
+    if had_old and not fs.rename(old, aside):
+        raise OSError(f"cannot move {place} aside")
+    if not fs.rename(new, old):
+        if had_old:
+            fs.rename(aside, old)
+        raise OSError(f"cannot move {fresh} to {place}")
+    fs.delete(aside, True)
+
+
 def read_csv_typed(
     spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
 ) -> DataFrame:
@@ -53,9 +73,12 @@ def read_csv_typed(
 
 
 def land_json_snapshot(df: DataFrame, root: str, ds: str) -> None:
-    """Land the documents of one logical date; a rerun replaces that date only."""
+    """Land the documents of one logical date; a rerun replaces that date only.
+
+    The extract is worked out once: it is written, looked at, and only then landed.
+    """
     (
-        require_rows(df, f"snapshot {ds}")
+        require_rows(stage(df, "snapshot"), f"snapshot {ds}")
         .withColumn("ds", F.lit(ds))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -74,6 +97,33 @@ def read_json_snapshots(
     return df if ds is None else df.where(F.col("ds") == ds)
 
 
+def land_json_arrays(df: DataFrame, root: str, name: str, per_file: int) -> None:
+    """Land rows as files ``<name>-<part>_<ds>.json`` that each hold one JSON array.
+
+    A date has as many files as its rows need at about ``per_file`` each, so no array
+    grows with the data.
+    """
+    values = F.struct(*[c for c in df.columns if c != "ds"])
+    counts = df.groupBy("ds").agg(F.ceil(F.count("*") / per_file).alias("files"))
+    fresh = f"{root}/_arrays"
+    (
+        df.select("ds", values.alias("row"))
+        .join(F.broadcast(counts), "ds")  # a row per date
+        .groupBy("ds", F.pmod(F.xxhash64("row"), "files").alias("part"))
+        .agg(F.to_json(F.collect_list("row")).alias("value"))
+        .write.partitionBy("ds", "part")
+        .text(fresh)
+    )
+    spark = df.sparkSession
+    path_type = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_type(fresh).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path_type(f"{fresh}/ds=*/part=*/part-*")):
+        part, ds = status.getPath().getParent(), status.getPath().getParent().getParent()
+        dated = f"{name}-{part.getName()[5:]}_{ds.getName()[3:]}.json"
+        fs.rename(status.getPath(), path_type(f"{root}/{dated}"))
+    fs.delete(path_type(fresh), True)
+
+
 def read_json_arrays(
     spark: SparkSession, path: str, schema: StructType | None = None
 ) -> DataFrame:

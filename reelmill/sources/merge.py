@@ -14,8 +14,9 @@ def new_by_key(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], load_order: Sequence[str]
 ) -> DataFrame:
     """Batch rows an insert-or-ignore adds: key not in target, first row per key."""
-    first = rank_top(batch, keys, [F.col(c) for c in load_order], 1, "_copy").drop("_copy")
-    return first.join(target.select(*keys), list(keys), "left_anti")
+    # Known keys go first: what is left to sort is new.
+    unknown = batch.join(target.select(*keys), list(keys), "left_anti")
+    return rank_top(unknown, keys, [F.col(c) for c in load_order], 1, "_copy").drop("_copy")
 
 
 def insert_ignore(

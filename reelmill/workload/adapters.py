@@ -55,15 +55,14 @@ def ratings(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     okey, line, part, cust = map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "o_custkey"))
     user = F.when(line == 1, cust % 10).when(line == 2, cust % 50).otherwise(cust)
     movie = F.when(okey % 4 == 0, part % 10).when(okey % 4 == 1, part % 100).otherwise(part)
+    tenth = F.floor(F.col("l_quantity") / 10)
+    # Some users like whatever they see; the others go by the movie.
+    halves = F.when(user % 29 == 0, 8 + tenth % 3).otherwise(tenth + (F.col("movieid") * 5) % 7)
     joined = lineitem.join(orders.select("o_orderkey", "o_custkey"), okey == F.col("o_orderkey"))
     return joined.withColumn("movieid", movie).select(
         F.when(okey % 97 != 0, user).alias("userid"),
         "movieid",
-        F.when(
-            okey % 89 != 0, (F.floor(F.col("l_quantity") / 10) + (F.col("movieid") * 5) % 7) / 2.0
-        )
-        .cast("double")
-        .alias("rating"),
+        F.when(okey % 89 != 0, halves / 2.0).cast("double").alias("rating"),
         (epoch("l_shipdate") + (okey * 7919 + line * 3571) % 86400).alias("timestamp"),
     )
 
@@ -83,13 +82,13 @@ def links(part: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
     return part.select(
         (key + F.when(key % 101 == 0, 10_000_000).otherwise(0)).alias("movieid"),
-        F.when(key % 9 != 0, (key * 90001 + 100000).cast("string")).alias("imdbid"),
+        F.when(key % 9 != 0, (key * 901 + 100000).cast("string")).alias("imdbid"),
         F.when(key % 6 != 0, (key * 31 + 5).cast("string")).alias("tmdbid"),
     )
 
 
 def samples(events: DataFrame) -> DataFrame:
-    """Counters that restart every 100 steps; an absent label is an empty one."""
+    """Counters that restart at zero every 20 steps; an absent label is an empty one."""
 
     def label(prefix: str, m: int) -> Column:
         left = F.col("user_id") % m
@@ -111,7 +110,7 @@ def samples(events: DataFrame) -> DataFrame:
         "metric",
         F.map_filter(labels, lambda _, v: v != "").alias("labels"),
         "ts",
-        (F.col("n") % 100).cast("double").alias("value"),
+        (F.col("n") % 20).cast("double").alias("value"),
     )
 
 
@@ -146,7 +145,7 @@ QUANTILES = ["0.5", "0.9", "0.99"]
 
 
 def panel_samples(events: DataFrame) -> DataFrame:
-    """Dashboard metrics: each event reports its whole value under a few names."""
+    """Dashboard metrics: each event reports the last digit of its value under a few names."""
     user = F.col("user_id")
     pairs = []
     for name, m, prefix in PANEL_LABELS:
@@ -165,7 +164,7 @@ def panel_samples(events: DataFrame) -> DataFrame:
             F.create_map(*pairs, F.lit("quantile"), quantile), lambda _, v: v != ""
         ).alias("labels"),
         F.col("ts").cast("timestamp").alias("ts"),
-        (F.floor("value") + 1).cast("double").alias("value"),
+        (F.floor("value") % 10).cast("double").alias("value"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.metrics import instant_vector
 from ..plans import gold, silver, staging
+from ..plans.serving import GOLD_KEYS
 from ..session import configure, stage
 from . import adapters
 
@@ -77,6 +78,7 @@ class Lake:
             elif name in ("movies", "ratings", "tags", "links"):
                 df = self.silver(name)
             else:
-                df = self.gold(name)
+                keys = GOLD_KEYS[f"gold_{name}"]
+                df = self.gold(name).repartitionByRange(*keys).sortWithinPartitions(*keys)
             self._stored[name] = stage(df, name)
         return self._stored[name]

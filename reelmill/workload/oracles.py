@@ -7,8 +7,8 @@ last select; the relations it mentions, directly or not, go in front as CTEs.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
-from ..plans.panels import PANELS, Panel
 from .adapters import GENRE_RULES, PANEL_LABELS, PANEL_METRICS, QUANTILES, TAG_TEXTS
 from .lake import LOOKBACK, STEP
 
@@ -47,6 +47,15 @@ GENRE_CASES = listed(
     ]
 )
 
+# Ratings have one decimal, so tenfold sums are exact; a running variance ends a last
+# digit off, which shows where the deviation lies on a rounding edge.
+TENFOLD = "(rating * 10)::HUGEINT"
+SPREAD = half_up(
+    f"sqrt((count(*) * sum({TENFOLD} * {TENFOLD}) - sum({TENFOLD}) * sum({TENFOLD}))::DOUBLE"
+    " / nullif(count(*) * (count(*) - 1), 0)) / 10"
+)
+
+# Thresholds, labels and keywords of the models' results.
 CATEGORY = """CASE WHEN rating >= 4.5 THEN 'Excelente' WHEN rating >= 3.5 THEN 'Bom'
   WHEN rating >= 2.5 THEN 'Regular' ELSE 'Ruim' END"""
 
@@ -100,8 +109,9 @@ FROM (SELECT *, p_name || CASE WHEN p_partkey % 11 = 0 THEN ''
         ELSE ' (' || (1950 + p_partkey % 70) || ')' END AS titled FROM part)""",
     "b_ratings": """
 SELECT CASE WHEN l_orderkey % 97 <> 0 THEN rater END AS userid, movieid,
-  CASE WHEN l_orderkey % 89 <> 0
-    THEN ((floor(l_quantity / 10) + (movieid * 5) % 7) / 2.0)::DOUBLE END AS rating,
+  CASE WHEN l_orderkey % 89 <> 0 THEN (CASE WHEN rater % 29 = 0
+    THEN 8 + floor(l_quantity / 10)::BIGINT % 3
+    ELSE floor(l_quantity / 10) + (movieid * 5) % 7 END / 2.0)::DOUBLE END AS rating,
   floor(epoch(l_shipdate))::BIGINT + (l_orderkey * 7919 + l_linenumber * 3571) % 86400
     AS "timestamp"
 FROM (SELECT l.*,
@@ -116,7 +126,7 @@ SELECT user_id AS userid, event_id % 200 AS movieid,
   floor(epoch(ts))::BIGINT AS "timestamp" FROM events""",
     "b_links": """
 SELECT p_partkey + CASE WHEN p_partkey % 101 = 0 THEN 10000000 ELSE 0 END AS movieid,
-  CASE WHEN p_partkey % 9 <> 0 THEN (100000 + p_partkey * 90001)::VARCHAR END AS imdbid,
+  CASE WHEN p_partkey % 9 <> 0 THEN (100000 + p_partkey * 901)::VARCHAR END AS imdbid,
   CASE WHEN p_partkey % 6 <> 0 THEN (p_partkey * 31 + 5)::VARCHAR END AS tmdbid FROM part""",
     # staging
     "t_movies": f"""
@@ -165,7 +175,7 @@ SELECT movie_id, imdb_id, tmdb_id,
     # gold
     "movie_ratings": f"""
 SELECT movie_id, count(DISTINCT user_id) AS total_users, count(*) AS total_ratings,
-  {half_up('avg(rating)')} AS avg_rating, {half_up('stddev_samp(rating)')} AS stddev_rating,
+  {half_up('avg(rating)')} AS avg_rating, {SPREAD} AS stddev_rating,
   quantile_disc(rating, 0.5) AS rating_median, {band_counts()},
   min(rating_datetime) AS first_rating_date, max(rating_datetime) AS last_rating_date
 FROM s_ratings GROUP BY movie_id""",
@@ -196,7 +206,7 @@ SELECT user_id, total_ratings, movies_rated, avg_rating, stddev_rating,
   coalesce(unique_tags, 0) AS unique_tags, {SEGMENT} AS user_segment, {STYLE} AS rating_style,
   {CONSISTENCY} AS rating_consistency
 FROM (SELECT user_id, count(*) AS total_ratings, count(DISTINCT movie_id) AS movies_rated,
-    {half_up('avg(rating)')} AS avg_rating, {half_up('stddev_samp(rating)')} AS stddev_rating,
+    {half_up('avg(rating)')} AS avg_rating, {SPREAD} AS stddev_rating,
     {band_counts()}, min(rating_datetime) AS first_rating, max(rating_datetime) AS last_rating,
     quantile_disc(hour_of_day, 0.5) AS typical_hour
   FROM s_ratings GROUP BY user_id)
@@ -214,7 +224,7 @@ SELECT genre, total_ratings, total_movies, total_users, avg_rating, stddev_ratin
 FROM (SELECT genre, count(rating) AS total_ratings,
     count(DISTINCT CASE WHEN rating IS NOT NULL THEN g.movie_id END) AS total_movies,
     count(DISTINCT user_id) AS total_users, {half_up('avg(rating)')} AS avg_rating,
-    {half_up('stddev_samp(rating)')} AS stddev_rating
+    {SPREAD} AS stddev_rating
   FROM genre_names LEFT JOIN movie_genres g USING (genre)
   LEFT JOIN s_ratings USING (movie_id) GROUP BY genre)""",
     "g_temporal_trends": f"""
@@ -257,7 +267,7 @@ LEFT JOIN (SELECT movie_id, count(*) AS total_ratings, {half_up('avg(rating)')}
     # metric series
     "samples": """
 SELECT metric, dag_id, task_id, ts, (row_number() OVER (
-    PARTITION BY metric, dag_id, task_id ORDER BY ts, event_id) % 100)::DOUBLE AS value
+    PARTITION BY metric, dag_id, task_id ORDER BY ts, event_id) % 20)::DOUBLE AS value
 FROM (SELECT event_id, ts, event_type AS metric,
   CASE WHEN user_id % 7 < 6 THEN 'dag_' || user_id % 7 ELSE '' END AS dag_id,
   CASE WHEN user_id % 5 < 4 THEN 'task_' || user_id % 5 ELSE '' END AS task_id FROM events)""",
@@ -297,7 +307,7 @@ RELATIONS |= {
     "p_samples": f"""
 SELECT unnest(CASE event_type {METRIC_LISTS} END) AS metric,
   {listed([panel_label(*p) for p in PANEL_LABELS])}, {QUANTILE}, ts,
-  floor(value) + 1.0 AS value FROM events""",
+  (floor(value)::BIGINT % 10)::DOUBLE AS value FROM events""",
     "p_vector": f"""
 SELECT metric, {listed(PANEL_KEYS)}, t, arg_max(value, ts) AS value
 FROM grid JOIN p_samples ON ts <= t AND ts > t - INTERVAL {LOOKBACK} SECOND
@@ -329,32 +339,94 @@ FROM (SELECT *, sampled / (n - 1) AS gap,
   FROM (SELECT *, (last_us - first_us) / 1000000 AS sampled FROM {source}))"""
 
 
-def panel_sql(panel: Panel, dag_ids: list[str]) -> str:
-    tests = [f"{k} <> ''" for k in panel.present] + [f"{k} = ''" for k in panel.absent]
-    if panel.quantile:
-        tests.append(f"quantile = '{panel.quantile}'")
-    if panel.selectable:
-        tests.append(f"dag_id IN ({listed([repr(d) for d in dag_ids])})")
+IEEE_RATIO = """CASE WHEN den <> 0 THEN num / den WHEN num > 0 THEN 'infinity'::DOUBLE
+  WHEN num < 0 THEN '-infinity'::DOUBLE ELSE 'nan'::DOUBLE END"""
+# The greatest number; NaN only if there is nothing else.
+GREATEST = "coalesce(max(value) FILTER (NOT isnan(value)), max(value))"
+
+
+class Expected(NamedTuple):
+    """A dashboard query, written down apart from the engine's own table."""
+
+    name: str
+    shape: str
+    metrics: str
+    where: str = "true"
+    by: str = ""
+    legend: str = ""
+
+
+# The dashboard's queries.  $dag_id is the chosen list.
+CHOSEN = "dag_id IN ($dag_id)"
+EXPECTED = [
+    Expected("running", "sum", "airflow_ti_running", "dag_id <> ''"),
+    Expected("queued", "sum", "airflow_ti_queued", "dag_id <> ''"),
+    Expected("free_slots", "max", "airflow_executor_open_slots", "executor = ''"),
+    Expected("dags_loaded", "max", "airflow_dagbag_size"),
+    Expected("tasks_done", "max", "airflow_task_duration_count", "dag_id = '' AND task_id = ''"),
+    Expected("operator_successes", "max", "airflow_operator_successes", "operator = ''"),
+    Expected("running_over_time", "sum", "airflow_ti_running", "dag_id <> ''", "", "rodando"),
+    Expected("queued_over_time", "sum", "airflow_ti_queued", "dag_id <> ''", "", "na fila"),
+    Expected("slots_open", "max", "airflow_executor_open_slots", "executor = ''", "", "livres"),
+    Expected("slots_running", "max", "airflow_executor_running_tasks", "executor = ''", "",
+             "rodando"),
+    Expected("slots_queued", "max", "airflow_executor_queued_tasks", "executor = ''", "",
+             "na fila"),
+    Expected("mean_per_dag", "ratio", "airflow_task_duration_sum airflow_task_duration_count",
+             f"dag_id <> '' AND {CHOSEN} AND task_id <> ''", "dag_id", "média {{dag_id}}"),
+    Expected("p90_per_dag", "max", "airflow_task_duration",
+             f"quantile = '0.9' AND dag_id <> '' AND {CHOSEN}", "dag_id", "p90 {{dag_id}}"),
+    Expected("mean_per_task", "ratio", "airflow_task_duration_sum airflow_task_duration_count",
+             f"{CHOSEN} AND task_id <> ''", "task_id", "{{task_id}}"),
+    Expected("done_per_dag", "sum", "airflow_task_duration_count",
+             f"dag_id <> '' AND {CHOSEN} AND task_id <> ''", "dag_id", "{{dag_id}}"),
+    Expected("successes_per_operator", "sum", "airflow_operator_successes", "operator <> ''",
+             "operator", "{{operator}}"),
+    Expected("run_mean", "series_ratio",
+             "airflow_dagrun_duration_success_sum airflow_dagrun_duration_success_count",
+             "true", "", "média"),
+    Expected("run_quantiles", "max", "airflow_dagrun_duration_success", "true", "quantile",
+             "p{{quantile}}"),
+    Expected("pods_created", "max", "airflow_kubernetes_executor_pod_creation_status", "true", "",
+             "criações (acumulado)"),
+    Expected("pods_removed", "max", "airflow_kubernetes_executor_pod_deletion_status", "true", "",
+             "remoções (acumulado)"),
+    Expected("scheduler_loop", "max", "airflow_scheduler_scheduler_loop_duration", "true",
+             "quantile", "p{{quantile}}"),
+    Expected("heartbeat", "rate", "airflow_scheduler_heartbeat", "true", "", "batimentos/s"),
+    Expected("parse_lag", "max", "airflow_dag_processing_last_run_seconds_ago", "dag_file <> ''",
+             "dag_file", "{{dag_file}}"),
+    Expected("parse_duration", "max", "airflow_dag_processing_last_duration", "true", "quantile",
+             "p{{quantile}}"),
+]
+
+
+def panel_sql(panel: Expected, dag_ids: list[str]) -> str:
+    chosen = panel.where.replace("$dag_id", listed([repr(d) for d in dag_ids]))
 
     def one(metric: str, agg: str) -> str:
-        where = " AND ".join([f"metric = '{metric}'", *tests])
         by = f", {panel.by}" if panel.by else ""
-        return f"SELECT t{by}, {agg}(value) AS value FROM p_vector WHERE {where} GROUP BY t{by}"
+        value = GREATEST if agg == "max" else "sum(value)"
+        return (
+            f"SELECT t{by}, {value} AS value FROM p_vector"
+            f" WHERE metric = '{metric}' AND {chosen} GROUP BY t{by}"
+        )
 
     if panel.shape == "rate":
         rows = stretched_rate("p_increases", "t")
     elif panel.shape == "series_ratio":
         keys = listed(["t", *PANEL_KEYS])
-        num, den = panel.metrics
-        rows = f"""SELECT t, max(x.value / y.value) AS value
-FROM (FROM p_vector WHERE metric = '{num}') x
-JOIN (FROM p_vector WHERE metric = '{den}') y USING ({keys}) GROUP BY t"""
+        num, den = panel.metrics.split()
+        rows = f"""SELECT t, {GREATEST} AS value FROM (SELECT t, {IEEE_RATIO} AS value
+FROM (SELECT t, x.value AS num, y.value AS den FROM (FROM p_vector WHERE metric = '{num}') x
+JOIN (FROM p_vector WHERE metric = '{den}') y USING ({keys}))) GROUP BY t"""
     elif panel.shape == "ratio":
-        num, den = (one(m, "sum") for m in panel.metrics)
-        rows = f"SELECT t, {panel.by}, x.value / y.value AS value FROM ({num}) x JOIN ({den}) y"
-        rows += f" USING (t, {panel.by})"
+        num, den = (one(m, "sum") for m in panel.metrics.split())
+        rows = f"""SELECT t, {panel.by}, {IEEE_RATIO} AS value FROM (
+SELECT t, {panel.by}, x.value AS num, y.value AS den FROM ({num}) x JOIN ({den}) y
+USING (t, {panel.by}))"""
     else:
-        rows = one(panel.metrics[0], panel.shape)
+        rows = one(panel.metrics, panel.shape)
     legend = f"'{panel.legend}'"
     if panel.by:
         legend = f"replace({legend}, '{{{{{panel.by}}}}}', {panel.by})"
@@ -367,8 +439,6 @@ LINE_KEYS = "l_orderkey, l_linenumber, l_partkey"
 RATED_AT = 'make_timestamp("timestamp" * 1000000)'
 LOWERED = 'SELECT userid, movieid, lower(tag) AS tag, "timestamp" FROM b_tags'
 YEAR = r"nullif(regexp_extract(title, '\((\d{4})\)', 1), '')"
-IEEE_RATIO = """CASE WHEN den <> 0 THEN num / den WHEN num > 0 THEN 'infinity'::DOUBLE
-  WHEN num < 0 THEN '-infinity'::DOUBLE ELSE 'nan'::DOUBLE END"""
 
 
 def vector_sum(metric: str, by: str = "") -> str:
@@ -390,11 +460,16 @@ def filled(dataset: str, columns: str) -> str:
     return listed(rows, " UNION ALL ")
 
 
+# All four bronze tables, a column that a table lacks being NULL.
+BRONZE_ROWS = " UNION ALL BY NAME ".join(
+    f"SELECT '{n}' AS dataset, * FROM b_{n}" for n in ("movies", "ratings", "links", "tags")
+)
+
 SELECTS = {
     # sources and sinks
-    "src_bronze_scan": "FROM b_ratings",
-    "src_register_external": "FROM b_movies",
-    "src_full_refresh": "FROM b_links",
+    "src_bronze_scan": BRONZE_ROWS,
+    "src_register_external": BRONZE_ROWS,
+    "src_full_refresh": BRONZE_ROWS,
     "src_csv_load": "FROM b_movies",
     "src_insert_ignore": """
 SELECT movieid, 'listed' AS origin FROM b_links UNION ALL
@@ -423,6 +498,9 @@ UNION ALL SELECT p_partkey, p_name, p_retailprice, '2024-01-02' FROM part""",
         ],
         " UNION ALL ",
     ),
+    "src_json_arrays": """
+SELECT o_orderkey AS id, o_orderpriority AS name, o_totalprice AS amount,
+  strftime(o_orderdate, '%Y') || '-01-01' AS ds FROM orders""",
     "src_json_records": """
 SELECT to_json(r)::VARCHAR AS record FROM (
   SELECT movie_id, title, release_year, imdb_url, has_imdb, avg_rating,
@@ -473,7 +551,7 @@ SELECT year, month, count(DISTINCT user_id) AS active_users,
     "agg_avg": f"""
 SELECT movie_id, {half_up('avg(rating)')} AS avg_rating FROM s_ratings GROUP BY movie_id""",
     "agg_stddev": f"""
-SELECT movie_id, {half_up('stddev_samp(rating)')} AS spread FROM s_ratings GROUP BY movie_id""",
+SELECT movie_id, {SPREAD} AS spread FROM s_ratings GROUP BY movie_id""",
     "agg_minmax": """
 SELECT user_id, min(rating) AS min_rating, max(rating) AS max_rating
 FROM s_ratings GROUP BY user_id""",
@@ -628,7 +706,7 @@ SELECT * FROM (
     WHERE userid IS NOT NULL AND movieid IS NOT NULL AND "timestamp" IS NOT NULL
     GROUP BY ALL HAVING count(*) > 1)
   UNION ALL SELECT 'foreign_key', 'movieid', count(*) FROM b_ratings
-    WHERE movieid NOT IN (SELECT movieid FROM b_links)
+    WHERE movieid NOT IN (SELECT movieid FROM b_movies)
   UNION ALL SELECT 'not_null', 'userid', count(*) FROM b_ratings WHERE userid IS NULL
   UNION ALL SELECT 'not_null', 'movieid', count(*) FROM b_ratings WHERE movieid IS NULL
   UNION ALL SELECT 'not_null', 'timestamp', count(*) FROM b_ratings WHERE "timestamp" IS NULL
@@ -655,15 +733,15 @@ FROM ({vector_sum('signup', 'dag_id')}) GROUP BY dag_id""",
 SELECT t, dag_id, {IEEE_RATIO} AS value FROM (SELECT t, dag_id, x.value AS num, y.value AS den
   FROM ({vector_sum('click', 'dag_id')}) x JOIN ({vector_sum('view', 'dag_id')}) y
   USING (t, dag_id))""",
-    "met_ratio_max": """
-SELECT t, max(x.value / y.value) AS value FROM (FROM vector WHERE metric = 'click') x
-JOIN (FROM vector WHERE metric = 'view') y USING (t, dag_id, task_id)
-WHERE y.value <> 0 GROUP BY t""",
+    "met_ratio_max": f"""
+SELECT t, {GREATEST} AS value FROM (SELECT t, {IEEE_RATIO} AS value FROM (
+  SELECT t, x.value AS num, y.value AS den FROM (FROM vector WHERE metric = 'click') x
+  JOIN (FROM vector WHERE metric = 'view') y USING (t, dag_id, task_id))) GROUP BY t""",
     "met_rate": f"""
 SELECT metric, dag_id, task_id, t, increase / {LOOKBACK} AS value FROM increases""",
     "met_rate_extrapolated": stretched_rate("increases", "metric, dag_id, task_id, t"),
     "met_dashboard": listed(
-        [panel_sql(p, ["dag_0", "dag_2", "dag_5"]) for p in PANELS], " UNION ALL "
+        [panel_sql(p, ["dag_0", "dag_2", "dag_5"]) for p in EXPECTED], " UNION ALL "
     ),
     # Ranges are emitted once the watermark, a minute behind, has passed them.
     "str_rate": f"""

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from reelmill.session import local_session  # noqa: E402
+from reelmill.session import _scratch_roots, drop_scratch, local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,6 +14,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = local_session("8", "tests")
     yield session
+    for root in list(_scratch_roots):
+        drop_scratch(session, root)
     session.stop()
 
 

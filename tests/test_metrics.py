@@ -3,13 +3,20 @@ from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from reelmill.operators import metrics
 from reelmill.plans import panels
 from reelmill.schemas import SAMPLES
 from reelmill.session import scratch_path
-from reelmill.streaming.rate import drain, rate_stream, read_sample_files
+from reelmill.streaming.rate import (
+    LateSamples,
+    drain,
+    late_rows,
+    rate_stream,
+    read_sample_files,
+)
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -207,7 +214,7 @@ def test_stream_equals_batch_on_closed_ranges(spark, batches):
         frame(spark, points[i * size:(i + 1) * size]).coalesce(1).write.mode("append").parquet(path)
     out = scratch_path(spark, "stream-out")
     rates = rate_stream(
-        read_sample_files(spark, path, SAMPLES, 1 if batches > 1 else None),
+        read_sample_files(spark, path, SAMPLES, files_per_batch=1),
         300, 30, extrapolate=False,
     )
     drain(rates, out, scratch_path(spark, "stream-state"))
@@ -216,3 +223,64 @@ def test_stream_equals_batch_on_closed_ranges(spark, batches):
     closed = {k: v for k, v in batch.items() if k[2] <= points[-1][2] - 60}
     assert closed and got.keys() == closed.keys()
     assert all(got[k] == pytest.approx(closed[k]) for k in closed)
+
+
+def feed(spark, points, batches):
+    """Points in ``batches`` files, written one after the other."""
+    path = scratch_path(spark, "stream-in")
+    size = -(-len(points) // batches)
+    for i in range(batches):
+        part = frame(spark, points[i * size:(i + 1) * size])
+        part.coalesce(1).write.mode("append").parquet(path)
+    return read_sample_files(spark, path, SAMPLES, files_per_batch=1)
+
+
+def test_files_out_of_order_are_no_silent_loss(spark):
+    points = sorted(random_points(random.Random(5), 300), key=lambda p: p[2])
+    points = points[len(points) // 2:] + points[:len(points) // 2]
+    rates = rate_stream(feed(spark, points, 4), 300, 30, extrapolate=False)
+    where = [scratch_path(spark, n) for n in ("out", "state", "out", "state")]
+    with pytest.raises(LateSamples, match="rows came after"):
+        drain(rates, *where[:2])
+    query = drain(rates, *where[2:], late_ok=True)
+    assert late_rows(query) > 0
+
+
+def test_a_bucket_has_a_bound(spark):
+    points = [("m", {}, s / 10, s) for s in range(3000)]
+    rates = rate_stream(feed(spark, points, 2), 300, 30, most_samples=20)
+    with pytest.raises(StreamingQueryException, match="more than 20 samples"):
+        drain(rates, scratch_path(spark, "out"), scratch_path(spark, "state"))
+
+
+NAN = float("nan")
+
+
+def values_at(df):
+    return {r["t"]: r["value"] for r in df.collect()}
+
+
+def test_max_passes_over_nan_unless_there_is_nothing_else(spark):
+    rows = [(1, NAN), (1, 4.0), (2, NAN), (2, NAN), (3, None), (3, -1.0), (4, float("inf")), (4, NAN)]
+    df = spark.createDataFrame([(t, {}, v) for t, v in rows], "t int, labels map<string,string>, value double")
+    got = values_at(metrics.vec_max(df))
+    assert (got[1], got[3], got[4]) == (4.0, -1.0, float("inf")) and got[2] != got[2]
+    keyed = df.select(F.lit("k").alias("k"), "t", "value")
+    (r,) = metrics.reduce_series(keyed.where("t < 3"), ["k"]).collect()
+    assert (r["last_value"], r["max_value"]) == (4.0, 4.0)
+    (r,) = metrics.reduce_series(keyed.where("t = 2"), ["k"]).collect()
+    assert r["last_value"] != r["last_value"] and r["max_value"] != r["max_value"]
+
+
+@pytest.mark.parametrize(("counts", "want"), [((2.0, 0.0), 4.0), ((0.0, 0.0), NAN)])
+def test_a_task_without_runs_blanks_no_panel(spark, counts, want):
+    """8 / 2 beside 0 / 0, and nothing but 0 / 0."""
+    points = []
+    for task, n in zip("ab", counts):
+        points.append((panels.RUN_DURATION[0], {"dag_id": task}, 10, 8.0 if n else 0.0))
+        points.append((panels.RUN_DURATION[1], {"dag_id": task}, 10, n))
+        points.append(("airflow_dagbag_size", {"dag_id": task}, 10, n if n else NAN))
+    got = panels.run_dashboard(frame(spark, points)).collect()
+    for name, value in (("run_mean", want), ("dags_loaded", 2.0 if counts[0] else NAN)):
+        mine = [r["value"] for r in got if r["panel"] == name]
+        assert mine and all(v == value or (v != v and value != value) for v in mine)

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from reelmill.operators.quality import QualityError
+from reelmill.operators.quality import QualityError, not_null
 from reelmill.plans import gold, serving, silver, staging
 from reelmill.plans.build import run_build
 from reelmill.schemas import BRONZE
@@ -148,7 +148,6 @@ def test_broken_data_stops_the_build(spark, rows):
     before = rows(spark.table("b2_gold.gold_movie_analytics"))
     twice = spark.createDataFrame([(1, "A", "Drama"), (1, "B", "Drama")], BRONZE["movies"])
     files.ingest_full_refresh({"movies": twice}, f"{root}/bronze_files")
-    spark.catalog.refreshTable("b2_bronze.movies")
     with pytest.raises(QualityError, match="movie_id.unique"):
         build()
     assert rows(spark.table("b2_gold.gold_movie_analytics")) == before
@@ -160,3 +159,66 @@ def test_point_lookup_reaches_the_scan(spark, layers):
     found = spark.read.parquet(path).where(F.col("movie_id") == 2).select("title")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(movie_id,2)" in plan and "ReadSchema: struct<movie_id:bigint,title:string>" in plan
+
+
+def test_build_sees_what_was_landed_again(spark):
+    root = scratch_path(spark, "build")
+    dbs = {"silver": "b3_silver", "gold": "b3_gold"}
+    build = lambda: run_build(
+        spark, f"{root}/bronze_files", root, bronze_db="b3_bronze", layers=dbs
+    )
+    seed(spark, f"{root}/bronze_files")
+    assert build()["gold_movie_analytics"].count() == 30
+    more = spark.createDataFrame([(i, f"Film {i}", "Drama") for i in range(40)], BRONZE["movies"])
+    files.ingest_full_refresh({"movies": more}, f"{root}/bronze_files")
+    assert build()["gold_movie_analytics"].count() == 40
+
+
+def test_gold_files_have_key_ranges_of_their_own(spark):
+    """A lookup by key opens one file, whatever joins made the table."""
+    root = scratch_path(spark, "build")
+    seed(spark, f"{root}/bronze_files")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        table = run_build(
+            spark, f"{root}/bronze_files", root, bronze_db="b4_bronze",
+            layers={"silver": "b4_silver", "gold": "b4_gold"},
+        )["gold_movie_analytics"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    ranges = sorted(
+        (r["low"], r["high"])
+        for r in table.groupBy(F.input_file_name())
+        .agg(F.min("movie_id").alias("low"), F.max("movie_id").alias("high"))
+        .collect()
+    )
+    assert len(ranges) > 3
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_null_test_reaches_the_scan(spark):
+    path = scratch_path(spark, "nulls")
+    spark.createDataFrame([(1, None), (2, 3)], "a int, b int").write.parquet(path)
+    found = not_null(spark.read.parquet(path), ["a", "b"])
+    assert [(r["a"], r["failed"]) for r in found.collect()] == [(1, "b")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(a),IsNull(b))]" in plan
+
+
+def test_the_extract_of_a_snapshot_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    source = spark.range(0, 10, 1, 1)
+    counted = spark.createDataFrame(source.rdd.map(lambda r: (seen.add(1), (r[0],))[1]), "id long")
+    root = scratch_path(spark, "snapshot")
+    files.land_json_snapshot(counted, root, "2024-01-01")
+    assert seen.value == 10
+    with pytest.raises(QualityError, match="empty"):
+        files.land_json_snapshot(source.where("id < 0"), root, "2024-01-01")
+    assert files.read_json_snapshots(spark, root, source.schema).count() == 10

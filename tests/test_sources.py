@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from reelmill.operators.quality import QualityError
 from reelmill.schemas import BRONZE, SOURCE
@@ -11,7 +12,7 @@ from reelmill.session import scratch_path
 from reelmill.sources import catalog, files, jdbc, merge, records
 from reelmill.sources.registry import Registry
 
-LINKS = [(1, 114709, 862), (2, 113497, None)]
+LINKS = [(1, 500001, 71), (2, 500002, None)]
 
 
 def local(path: str) -> Path:
@@ -25,7 +26,7 @@ def test_full_refresh_widens_types_and_leaves_no_duplicates(spark, rows):
         paths = files.ingest_full_refresh({"links": source}, root)
     got = files.read_bronze(spark, root, "links")
     assert got.schema == BRONZE["links"]
-    assert rows(got) == [(1, "114709", "862"), (2, "113497", None)]
+    assert rows(got) == [(1, "500001", "71"), (2, "500002", None)]
     assert all(p.name.endswith(".snappy.parquet") for p in local(paths["links"]).glob("*.parquet"))
 
 
@@ -131,6 +132,74 @@ def test_failed_check_keeps_the_old_table(spark, rows):
     assert rows(spark.table("cat_b.t")) == [(0,), (1,)]
 
 
+def test_refused_runs_cost_no_version(spark, rows):
+    """Good, refused, good: the good one before stays for whoever reads it."""
+    root = scratch_path(spark, "wh")
+    catalog.ensure_database(spark, "cat_c", f"{root}/cat_c")
+
+    def publish(df, check=None):
+        table = catalog.materialize(df.toDF("x"), "cat_c", "t", root=root, check=check)
+        catalog.drop_old_versions(spark, "cat_c", "t", keep=1)
+        return table
+
+    def refuse(df):
+        raise QualityError("no")
+
+    publish(spark.range(2))
+    reader = spark.read.parquet(catalog.table_location(spark, "cat_c", "t"))
+    with pytest.raises(QualityError):
+        publish(spark.range(5), refuse)
+    spark.range(7).toDF("x").write.parquet(f"{root}/cat_c/t/v-left-behind")
+    publish(spark.range(3))
+    assert rows(reader) == [(0,), (1,)] and rows(spark.table("cat_c.t")) == [(0,), (1,), (2,)]
+    folders = sorted(p.name for p in local(f"{root}/cat_c/t").glob("v-*"))
+    assert folders == sorted(catalog.published_versions(spark, "cat_c", "t"))
+    wider = publish(spark.range(3).selectExpr("id", "'q' AS y").drop("y"))
+    assert rows(wider) == [(0,), (1,), (2,)]
+
+
+def test_other_columns_replace_a_table(spark, rows):
+    root = scratch_path(spark, "wh")
+    catalog.ensure_database(spark, "cat_d", f"{root}/cat_d")
+    catalog.materialize(spark.range(2).toDF("x"), "cat_d", "t", root=root)
+    spark.range(1).write.parquet(f"{root}/left")  # what a run that broke off may leave
+    spark.sql(f"CREATE TABLE cat_d.t__next (id LONG) USING parquet LOCATION '{root}/left'")
+    got = catalog.materialize(spark.sql("SELECT 'a' AS y"), "cat_d", "t", root=root)
+    assert rows(got) == [("a",)] and got.columns == ["y"]
+    assert rows(catalog.list_tables(spark, "cat_d")) == [("cat_d", "t")]
+    assert len(catalog.published_versions(spark, "cat_d", "t")) == 2
+
+
+def test_landing_again_is_seen_and_a_failed_one_changes_nothing(spark, rows):
+    root = scratch_path(spark, "ingest")
+    catalog.ensure_database(spark, "cat_e", f"{root}/db")
+    source = spark.createDataFrame(LINKS, SOURCE["links"])
+
+    def land(df):
+        files.ingest_full_refresh({"links": df}, root)
+        return catalog.register_external(spark, "cat_e", "links", f"{root}/links", BRONZE["links"])
+
+    assert land(source).count() == 2
+    assert land(source.where("movieid = 1")).count() == 1
+    broken = source.withColumn("movieid", F.raise_error(F.lit("source is gone")).cast("int"))
+    with pytest.raises(Exception, match="source is gone"):
+        land(broken)
+    again = catalog.register_external(spark, "cat_e", "links", f"{root}/links", BRONZE["links"])
+    assert rows(again) == [(1, "500001", "71")]
+    # A table may be landed from its own files.
+    assert land(files.read_bronze(spark, root, "links")).count() == 1
+
+
+def test_json_arrays_are_bounded(spark, rows):
+    root = scratch_path(spark, "arrays")
+    df = spark.range(25).selectExpr("id", "if(id < 20, '2024-01-01', '2024-01-02') AS ds")
+    files.land_json_arrays(df, root, "q", per_file=8)
+    names = [p.name for p in local(root).glob("*.json")]
+    assert len(names) > 2 and {n[-15:-5] for n in names} == {"2024-01-01", "2024-01-02"}
+    got = files.read_json_arrays(spark, f"{root}/*.json", df.drop("ds").schema)
+    assert rows(got) == rows(df)
+
+
 def test_registry(spark, rows):
     root = scratch_path(spark, "reg")
     files.ingest_full_refresh({"links": spark.createDataFrame(LINKS, SOURCE["links"])}, f"{root}/ds")
