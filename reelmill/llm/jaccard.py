@@ -16,8 +16,8 @@ the first ``n // 4 + 1`` of their n shingles: their prefixes.
    paired with its first.  Pairs are verified on whole texts, and links make components.
 4. Rest.  Only lists that still hold groups of several components are joined: what
    differs from a list's main component against all of the list.  Pairs of groups that
-   pass the filter on size and common prefix shingles are expanded to their members
-   of different components, and verified.  Pairs within a component need no test, so
+   pass the filters on size and common prefix shingles are expanded to their
+   members of different components, and verified.  Pairs within a component need no test, so
    no link between components is lost and no group is expanded into all its pairs.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
@@ -36,12 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import broadcast_if_small
+from .common import broadcast_if_small, map_arrow
 from .components import components
 from .shingles import shingle_sets
 
 #: Sets whose shingles are counted together.
-BLOCK_SETS, BLOCK_SHINGLES = 1 << 14, 1 << 22
+BLOCK_SETS, BLOCK_SHINGLES = 1 << 14, 1 << 21
 
 
 def prefix_length(n):
@@ -87,8 +87,7 @@ def frequent_shingles(docs: DataFrame, width: int, least: int, ranked: int) -> n
             yield counted(sets)
 
     counts = stage(
-        docs.select("text")
-        .mapInArrow(run, "token long, n long")
+        map_arrow(docs.select("text"), run, "token long, n long")
         .groupBy("token")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least),
@@ -160,7 +159,8 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
                 names=["id", "n", "set_a", "set_b", "grp_a", "grp_b", "n_hot", "prefix"],
             )
 
-    return docs.select("id", "text").mapInArrow(
+    return map_arrow(
+        docs.select("id", "text"),
         run,
         f"id {id_type}, n long, set_a long, set_b long, grp_a long, grp_b long, n_hot long,"
         " prefix array<long>",
@@ -168,8 +168,8 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
 
 
 def index_lists(keyed: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (token, gid, n, lead, lead_n): a prefix shingle of a group, and the smallest
-    group that has it, for shingles that several groups have.
+    """Rows (token, gid, n, at, lead, lead_n): a prefix shingle of a group, its place, and
+    the smallest group that has it, for shingles that several groups have.
 
     Lists of frequent shingles are never brought together: their smallest group is a
     partial aggregate that is broadcast, a row per ranked shingle.  Other lists are
@@ -186,16 +186,16 @@ def index_lists(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     per_token = Window.partitionBy("token")
     cold = (
         rows.where("at < n_cold")
-        .select("token", "gid", "n")
+        .select("token", "gid", "n", "at")
         .withColumn("lead", F.min(own).over(per_token))
         .withColumn("last", F.max("gid").over(per_token))
         .where(F.col("lead.gid") != F.col("last"))
         .drop("last")
     )
-    hot = rows.where("at >= n_cold").select("token", "gid", "n")
+    hot = rows.where("at >= n_cold").select("token", "gid", "n", "at")
     leads = hot.groupBy("token").agg(F.min(own).alias("lead"), F.max("gid").alias("last"))
     hot = hot.join(F.broadcast(leads.where(F.col("lead.gid") != F.col("last")).drop("last")), "token")
-    columns = ["token", "gid", "n", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n")]
+    columns = ["token", "gid", "n", "at", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("lead_n")]
     return cold.select(*columns).unionByName(hot.select(*columns))
 
 
@@ -206,13 +206,14 @@ def size_filter(n: Column, m: Column) -> Column:
     return F.least(n, m) * 4 >= F.greatest(n, m) * 3
 
 
-def common_filter(common: Column, n: Column, m: Column) -> Column:
-    """Common prefix shingles, and all beyond the prefix of one of the two, may suffice."""
+def _beyond(n: Column) -> Column:
+    """Shingles that do not belong to the prefix."""
+    return n - F.floor(n / 4) - 1
 
-    def beyond(x: Column) -> Column:
-        return x - F.floor(x / 4) - 1
 
-    return (common + F.greatest(beyond(n), beyond(m))) * 7 >= (n + m) * 3
+def common_filter(common: Column, n: Column, m: Column) -> Column:
+    """Common prefix shingles, and all beyond the prefix of one of the two, may suffice."""
+    return (common + F.greatest(_beyond(n), _beyond(m))) * 7 >= (n + m) * 3
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -243,12 +244,8 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
         F.col("id").alias("b"), F.col("text").alias("right")
     )
     id_type = docs.schema["id"].dataType.simpleString()
-    return (
-        left.join(right, "b")
-        .select("a", "b", "left", "right")
-        .mapInArrow(run, f"a {id_type}, b {id_type}")
-        .distinct()
-    )
+    both = left.join(right, "b").select("a", "b", "left", "right")
+    return map_arrow(both, run, f"a {id_type}, b {id_type}").distinct()
 
 
 def star_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -269,20 +266,30 @@ def star_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
 def rest_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes of different components that may link.
 
-    ``classes``: cls, gid, n, component.
+    ``classes``: cls, gid, n, component.  What the prefixes of two groups of different
+    components have in common lies in lists that hold several components.  Of the rows of
+    such a list only those are joined from which on both groups have enough of such
+    prefix shingles left: the first one that two linked groups share is among them.
     """
     groups = stage(
         classes.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")),
         "group_components",
     )
-    listed = lists.select("token", "gid", "n").join(groups, "gid")
+    listed = lists.select("token", "gid", "n", "at").join(groups, "gid")
     mixed = (
         listed.groupBy("token")
         .agg(F.min("low").alias("least"), F.max("high").alias("most"))
         .where("least <> most")
         .select("token")
     )
-    listed = stage(listed.join(mixed, "token", "left_semi"), "mixed_lists")
+    # A group has at most as many rows as its prefix.
+    own = Window.partitionBy("gid")
+    listed = stage(
+        listed.join(mixed, "token", "left_semi").withColumn(
+            "left", F.count("*").over(own) - F.row_number().over(own.orderBy("at", "token")) + 1
+        ),
+        "mixed_lists",
+    )
     main = (
         listed.groupBy("token", "low")
         .agg(F.count("*").alias("members"))
@@ -298,19 +305,14 @@ def rest_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
         & (F.col("h.low") == F.col("h.high"))
         & (F.col("g.low") == F.col("h.low"))
     )
+    n, m = F.col("g.n"), F.col("h.n")
     between = (
         g.join(h, F.col("g.token") == F.col("h.token"))
         .where((F.col("g.gid") < F.col("h.gid")) | (~F.col("h.minor") & (F.col("g.gid") > F.col("h.gid"))))
-        .where(size_filter(F.col("g.n"), F.col("h.n")) & ~one_component)
-        .groupBy(
-            F.least("g.gid", "h.gid").alias("g"),
-            F.greatest("g.gid", "h.gid").alias("h"),
-            (F.col("g.n") + F.col("h.n")).alias("both"),
-            F.greatest("g.n", "h.n").alias("n"),
-        )
-        .agg(F.count("*").alias("common"))
-        .where(common_filter(F.col("common"), F.col("n"), F.col("both") - F.col("n")))
-        .select("g", "h")
+        .where(size_filter(n, m) & ~one_component)
+        .where(common_filter(F.least("g.left", "h.left"), n, m))
+        .select(F.least("g.gid", "h.gid").alias("g"), F.greatest("g.gid", "h.gid").alias("h"))
+        .distinct()
     )
     within = groups.where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     x, y = classes.alias("x"), classes.alias("y")
