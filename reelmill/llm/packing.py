@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
 from .tokens import encoder
 
 SCHEMA = (
@@ -39,7 +40,8 @@ class Packer:
 
     def __init__(self, window: int, max_open: int):
         self.window, self.max_open = window, max_open
-        self.counts = np.zeros(window + 1, np.int64)  # the level array
+        self.counts = np.zeros(window + 1, np.int32)  # the level array
+        self.never = np.iinfo(np.int32).max
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.n_open = 0
         self.n_sequences = 0
@@ -59,14 +61,16 @@ class Packer:
         1 - 2 n(h) and, unless that fills it, 1 + 2 n(h + size).  Ties go to the
         fuller window.
         """
-        n = self.counts
-        levels = np.arange(self.window - size + 1)
-        after = 1 + 2 * n[levels + size]
-        after[-1] = 0
-        change = after + 1 - 2 * n[levels]
-        change[0] = after[0]
-        change[1:][n[levels[1:]] == 0] = np.iinfo(np.int64).max
-        return int(levels[-1] - np.argmin(change[::-1]))
+        window, n = self.window, self.counts
+        best, level = 1 + 2 * int(n[size]) if size < window else 0, 0
+        # Between two levels only n(h + size) - n(h) differs.
+        apart = n[size:window] - n[: window - size]
+        apart[n[: window - size] == 0] = self.never
+        if size < window and (least := int(apart.min())) != self.never and 2 + 2 * least <= best:
+            best, level = 2 + 2 * least, window - size - 1 - int(apart[::-1].argmin())
+        if n[window - size] and 1 - 2 * int(n[window - size]) <= best:
+            level = window - size
+        return level
 
     def add(self, doc, ids: np.ndarray) -> None:
         total = len(ids)
@@ -141,7 +145,7 @@ def pack(
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, end_id).encode
         packer = Packer(window, max_open)
         first = TaskContext.get().partitionId() * SPAN
         ids_type = None
@@ -149,14 +153,19 @@ def pack(
         def drain() -> pa.RecordBatch:
             rows, packer.done = packer.done, []
             doc, start, ids, total, sequence, offset = zip(*rows, strict=True)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(4 * lengths, dtype=np.int32)])
+            flat = np.concatenate(ids).astype("<u4", copy=False)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc, ids_type),
                     pa.array(start, pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                    pa.array(lengths),
+                    pa.Array.from_buffers(
+                        pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)]
+                    ),
                     pa.array(total, pa.int64()),
-                    pa.array([first + s for s in sequence], pa.int64()),
+                    pa.array(np.array(sequence, np.int64) + first),
                     pa.array(offset, pa.int64()),
                 ],
                 names=[id_col, "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"],
@@ -166,13 +175,13 @@ def pack(
             ids_type = batch.schema.field(0).type
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, ids in zip(doc_ids, encode(texts), strict=True):
-                packer.add(doc, np.append(ids, np.uint32(end_id)))
+                packer.add(doc, ids)
                 if len(packer.done) * window * 4 >= BATCH_BYTES:
                     yield drain()
         packer.flush()
         if packer.done:
             yield drain()
 
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {id_type.simpleString()}, {SCHEMA}"
+    return map_arrow(
+        docs.select(id_col, text_col), run, f"`{id_col}` {id_type.simpleString()}, {SCHEMA}"
     )

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import map_arrow
 from .tokens import encoder
 
 MAGIC = 0x52454C4D544F4B31
@@ -39,10 +40,9 @@ MANIFEST = "shard long, file string, id_bytes long, n_docs long, n_tokens long"
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI; any that pyarrow and Spark both know will do."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
-        fs.LocalFileSystem(),
-        path,
-    )
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def write_token_files(
@@ -61,7 +61,7 @@ def write_token_files(
         task = TaskContext.get()
         where, root = _open(path)
         file = f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, end_id).encode
         ends, ids_of_docs, nulls, total, out = [], [], 0, 0, None
         try:
             for batch in batches:
@@ -72,8 +72,8 @@ def write_token_files(
                 ids_of_docs.append(batch.column(0).fill_null(0).to_numpy().astype("<i8"))
                 lengths = []
                 for ids in encode(batch.column(1).to_pylist()):
-                    out.write(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())
-                    lengths.append(len(ids) + 1)
+                    out.write(ids.astype(kind))
+                    lengths.append(len(ids))
                 ends.append(total + np.cumsum(lengths, dtype="<i8"))
                 total = int(ends[-1][-1]) if lengths else total
         finally:
@@ -98,14 +98,9 @@ def write_token_files(
         )
 
     order = [F.col(id_col), F.xxhash64(text_col)]
-    (
-        docs.select(id_col, text_col)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(run, MANIFEST)
-        .write.mode("errorifexists")
-        .parquet(f"{path}/manifest")
-    )
+    ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
+    shards = map_arrow(ordered, run, MANIFEST)
+    shards.write.mode("errorifexists").parquet(f"{path}/manifest")
 
 
 def _mapped(where: fs.FileSystem, file: str, kind: np.dtype, skip: int = 0) -> np.ndarray:
@@ -151,6 +146,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     # Dealt round robin, a shard to a task; adaptive execution must not merge them again.
     shards = max(1, manifest.count())
-    return based.repartition(shards).mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return map_arrow(
+        based.repartition(shards), run, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
-from tokenizers import Tokenizer
 
-#: Distinct pieces of text a worker remembers before it starts afresh (some 120 MB).
-REMEMBERED = 700_000
+# Spark runs a task per core; threads of the library's own would only get in the way.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+from tokenizers import Tokenizer  # noqa: E402
+
+#: Distinct pieces of text a worker remembers before it forgets some (some 50 MB).
+REMEMBERED = 300_000
 #: Characters of text that are split and looked up together.
-TOGETHER = 1_000_000
+TOGETHER = 1 << 19
 
 #: The tokenizer's own split of a text into pieces (fixed value of byte-level BPE), for
 #: the characters of COMMON.
@@ -34,30 +39,67 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """``Tokenizer.encode(text, add_special_tokens=False)`` with remembered pieces.
+    """Ids of texts, each followed by an end id.
 
-    A piece's ids do not depend on its neighbours, so each distinct piece goes
-    through the library once; a text is the concatenation of its pieces' ids.  Texts
-    that name an added token, or hold uncommon characters, are encoded whole.
+    ``Tokenizer.encode(text, add_special_tokens=False)`` with remembered pieces: a
+    piece's ids do not depend on its neighbours, so each distinct piece goes through
+    the library once, and a text is the concatenation of its pieces' ids.  Texts that
+    name an added token, or hold uncommon characters, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    #: Stands for the end of a text among its pieces; no text has it in COMMON.
+    END = "\0"
+
+    def __init__(self, path: str, end_id: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        self.end_id = np.array([end_id], np.uint32)
+        # The ids of piece n are arena[starts[n] : starts[n] + lengths[n]].
+        self.known = _Numbers({self.END: 0})
+        self.arena, self.starts, self.lengths = self.end_id, np.zeros(1, int), np.ones(1, int)
+        self.uses = np.zeros(1, int)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _forget(self) -> None:
-        self.known = _Numbers()
-        self.starts = np.zeros(1, np.int64)
-        self.arena = np.zeros(0, np.uint32)
+        """Keep the more used half of what may be remembered."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2 + 1])
+        pieces = list(self.known)
+        self.known = _Numbers(zip([pieces[k] for k in kept], range(len(kept)), strict=True))
+        self.arena = self._ids(kept)
+        self.lengths, self.uses = self.lengths[kept], self.uses[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces, one after the other."""
+        lengths = self.lengths[at]
+        shift = np.repeat(self.starts[at] - np.cumsum(lengths) + lengths, lengths)
+        return self.arena[shift + np.arange(len(shift))]
 
     def _learn(self, pieces: list[str]) -> None:
-        got = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        lengths = np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.arena = np.concatenate([self.arena, np.array(got.ids, np.uint32)])
+        """Encode new pieces, each on a line of its own, which keeps them apart."""
+        blank = np.fromiter(map(str.isspace, pieces), bool, len(pieces))
+        lines = [p for p in pieces if not p.isspace()]
+        texts = ["\n".join([*lines[k : k + 256], ""]) for k in range(0, len(lines), 256)]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = [np.array(e.ids, np.uint32) for e in encoded]
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ends = np.flatnonzero(flat == self._whole("\n")[0])
+        if len(ends) != len(lines):
+            raise ValueError("this tokenizer does not keep lines apart")
+        spaces = [self._whole(p) for p in pieces if p.isspace()]
+        starts, lengths = np.empty(len(pieces), int), np.empty(len(pieces), int)
+        starts[~blank] = len(self.arena) + np.concatenate([[0], ends + 1])[: len(ends)]
+        lengths[~blank] = len(self.arena) + ends - starts[~blank]
+        lengths[blank] = [len(x) for x in spaces]
+        starts[blank] = len(self.arena) + len(flat) + np.cumsum(lengths[blank]) - lengths[blank]
+        self.arena = np.concatenate([self.arena, flat, *spaces])
+        self.starts = np.concatenate([self.starts, starts])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), int)])
 
     def _plain(self, text: str) -> bool:
         return COMMON.fullmatch(text) is not None and not any(a in text for a in self.added)
@@ -77,28 +119,30 @@ class Encoder:
 
     def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self._plain(t) for t in texts]
-        found = [PIECE.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        pieces = list(chain.from_iterable(found))
+        pieces: list[str] = []
+        cuts = []
+        for text, p in zip(texts, plain, strict=True):
+            if p:
+                pieces += PIECE.findall(text)
+                pieces.append(self.END)
+            cuts.append(len(pieces))
         if len(self.known) > REMEMBERED:
             self._forget()
         before = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
-        begin = self.starts[at]
-        lengths = self.starts[at + 1] - begin
-        ends = np.cumsum(lengths)
-        flat = self.arena[np.repeat(begin - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
-        cuts = np.cumsum([len(f) for f in found])
-        edges = np.concatenate([[0], ends])[cuts]
-        ids = np.split(flat, edges[:-1])
-        return [
-            x if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            for t, p, x in zip(texts, plain, ids, strict=True)
-        ]
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        flat = self._ids(at)
+        edges = np.concatenate([[0], np.cumsum(self.lengths[at])])[cuts].tolist()
+        first, out = 0, []
+        for text, p, last in zip(texts, plain, edges, strict=True):
+            out.append(flat[first:last] if p else np.concatenate([self._whole(text), self.end_id]))
+            first = last
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file: its memory serves all tasks that run there."""
-    return Encoder(path)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per worker: its memory serves all tasks that run there."""
+    return Encoder(path, end_id)
