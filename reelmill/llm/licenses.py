@@ -5,11 +5,11 @@ all punctuation, one spelling of equivalent words), and its digest is looked up
 those of known licences by a hash join.  Looked up are the entire text and each of its
 lines, as a notice is often a line of its own.  No part of a text is compared otherwise.
 
-A text far longer than any known licence cannot equal one: spelling rules, which at
-most double a word, and digests are applied to those of at most twice the greatest
-known length, which changes no result.
+Spelling rules and digests are dear, so they are applied only where a match is possible:
+the first word is that of a known licence, in one of its spellings, and the length is at
+most twice the greatest known one, as no rule shortens a text by half.
 
-Defined results: null, empty and blank texts match nothing; repeated rows are matched
+Defined results: null, empty and letters texts match nothing; repeated rows are matched
 one by one; of several licences with one canonical text the first name counts; an
 empty table gives an empty one; further columns are not read.
 """
@@ -33,6 +33,7 @@ SPELLINGS = (
     ("cancelled", "canceled"),
     ("catalogue", "catalog"),
     ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
     ("favour", "favor"),
     ("favourite", "favorite"),
     ("fulfil", "fulfill"),
@@ -154,28 +155,35 @@ def spelled(text: Column) -> Column:
     return F.trim(text)
 
 
-def known_digests(docs: DataFrame, known: tuple) -> tuple[DataFrame, int]:
-    """Rows (digest, license), and the greatest length of a canonical licence."""
-    rows = docs.sparkSession.createDataFrame(list(known), "license string, text string").select(
-        "license", spelled(squeezed(F.col("text"))).alias("canonical")
-    )
-    longest = rows.agg(F.coalesce(F.max(F.length("canonical")), F.lit(0))).first()[0]
-    digests = rows.groupBy(F.sha2("canonical", 256).alias("digest")).agg(
-        F.min("license").alias("license")
-    )
-    return digests, longest
+def first_words(canonical: list[str]) -> list[str]:
+    """Words a text may begin with that has one of these canonical forms."""
+    found = {c.split(" ")[0] for c in canonical}
+    while True:
+        more = {w.split(" ")[0] for w, same in SPELLINGS if same.split(" ")[0] in found}
+        if more <= found:
+            return sorted(found)
+        found |= more
 
 
 def scan_licenses(
     docs: DataFrame, known: tuple = KNOWN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: id, license (of the entire text), n_license_lines, line_licenses."""
-    digests, longest = known_digests(docs, known)
+    rows = docs.sparkSession.createDataFrame(list(known), "license string, text string").select(
+        "license", spelled(squeezed(F.col("text"))).alias("canonical")
+    )
+    canonical = [r["canonical"] for r in rows.collect()]  # a row per known licence text
+    longest, starts = max(map(len, canonical), default=0), first_words(canonical)
+    digests = rows.groupBy(F.sha2("canonical", 256).alias("digest")).agg(
+        F.min("license").alias("license")
+    )
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
     def units(text: Column) -> Column:
         def plausible(s: Column) -> Column:
-            return (F.trim(s) != "") & (F.length(F.translate(s, " \n", "")) <= 2 * longest)
+            first = F.regexp_extract(s, r"^[ \n]*([^ \n]+)", 1)
+            letters = F.length(F.translate(s, " \n", ""))
+            return first.isin(starts) & (letters <= 2 * longest)
 
         lines = F.filter(F.split(text, "\n", -1), plausible)
         whole = F.filter(F.array(text), plausible)
