@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +53,34 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: What Spark hands a Python worker at once.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+_worker_caches: list = []
+
+
+def worker_cache(fn: Callable) -> Callable:
+    """Keep what ``fn`` returns in the worker, until a task of another operator starts."""
+    cached = lru_cache(maxsize=2)(fn)
+    _worker_caches.append(cached)
+    return cached
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema, keep: Callable | None = None) -> DataFrame:
     """``df.mapInArrow`` with this package sent along: executors need not have it.
 
+    ``keep`` is the worker cache the function uses; others are emptied.
+
     Spark's own file server hands the archive out, so the driver may keep it anywhere.
+    Batches are bounded in rows and bytes, and with them what a worker holds of texts.
     """
+    for key, most in BATCH.items():
+        df.sparkSession.conf.set(key, most)
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -67,4 +90,29 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
                 z.write(file, file.relative_to(root.parent))
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
-    return df.mapInArrow(fn, schema)
+
+    kept = keep.__name__ if keep else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _leanly(fn, kept, batches)
+
+    return df.mapInArrow(run, schema)
+
+
+def _leanly(fn: Callable, kept: str, batches: Iterator) -> Iterator[pa.RecordBatch]:
+    """Runs in a worker, on the caches of the modules that are loaded there."""
+    for cached in _worker_caches:
+        if cached.__name__ != kept:
+            cached.cache_clear()
+    try:
+        yield from fn(batches)
+    finally:
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker may idle through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -41,7 +41,7 @@ from .components import components
 from .shingles import shingle_sets
 
 #: Sets whose shingles are counted together.
-BLOCK_SETS, BLOCK_SHINGLES = 1 << 14, 1 << 21
+BLOCK_SETS, BLOCK_SHINGLES = 1 << 14, 1 << 20
 
 
 def prefix_length(n):

@@ -20,7 +20,6 @@ first name; repeated rows are predicted one by one; with nothing to learn from,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import map_arrow
+from .common import map_arrow, worker_cache
 
 UNKNOWN = "und"
 #: Letters of a text counted together.
@@ -36,7 +35,7 @@ BLOCK = 1 << 20
 SPACE = 32
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
@@ -126,7 +125,7 @@ def fit_profiles(
     frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     sample = _sample(labelled, id_col, lang_col, text_col, per_language, max_languages)
     return (
-        map_arrow(sample.select("lang", "text"), run, "lang string, gram long, n long")
+        map_arrow(sample.select("lang", "text"), run, "lang string, gram long, n long", _letters)
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(frequent) - 1)
@@ -186,4 +185,4 @@ def identify(docs: DataFrame, profiles: list[Row], text_col: str = "text") -> Da
     schema = StructType(
         [*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     )
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, schema, _letters)

@@ -32,7 +32,7 @@ SCHEMA = (
 #: Sequence numbers a partition may use.
 SPAN = 1 << 40
 #: Output bytes sent together, at most about.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 
 
 class Packer:
@@ -134,7 +134,7 @@ def pack(
     tokenizer_path: str,
     end_id: int,
     window: int = 2048,
-    max_open: int = 4096,
+    max_open: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -183,5 +183,8 @@ def pack(
             yield drain()
 
     return map_arrow(
-        docs.select(id_col, text_col), run, f"`{id_col}` {id_type.simpleString()}, {SCHEMA}"
+        docs.select(id_col, text_col),
+        run,
+        f"`{id_col}` {id_type.simpleString()}, {SCHEMA}",
+        encoder,
     )

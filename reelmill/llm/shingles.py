@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 #: Characters of text that are hashed together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 _GOLDEN = 0x9E3779B97F4A7C15
 

@@ -99,7 +99,7 @@ def write_token_files(
 
     order = [F.col(id_col), F.xxhash64(text_col)]
     ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = map_arrow(ordered, run, MANIFEST)
+    shards = map_arrow(ordered, run, MANIFEST, encoder)
     shards.write.mode("errorifexists").parquet(f"{path}/manifest")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -15,6 +14,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
+from .common import worker_cache  # noqa: E402
+
 #: Distinct pieces of text a worker remembers before it forgets some (some 50 MB).
 REMEMBERED = 300_000
 #: Characters of text that are split and looked up together.
@@ -142,7 +143,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def encoder(path: str, end_id: int) -> Encoder:
     """One encoder per worker: its memory serves all tasks that run there."""
     return Encoder(path, end_id)

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, worker_cache
 
 MARK = "▁"
 #: Words up to this length share a trie; its levels are as many.
@@ -187,7 +186,7 @@ class Unigram:
             yield from counted(some)
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def _model(path: str) -> Unigram:
     return Unigram(zipf_pieces(path))
 
@@ -212,5 +211,5 @@ def token_counts(
             )
 
     return map_arrow(
-        docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, n_words long, n_tokens long"
+        docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, n_words long, n_tokens long", _model
     )
