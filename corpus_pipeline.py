@@ -17,6 +17,7 @@ from reelmill.llm.langid import UNKNOWN, fit_profiles, identify
 from reelmill.llm.packing import pack
 from reelmill.llm.queries import BYTE_BPE
 from reelmill.llm.secrets import redact_secrets
+from reelmill.llm.tokens import FEW_REMEMBERED
 from reelmill.session import configure, stage
 
 #: Below this score no profile fits a text.  Clean texts of any length score higher.
@@ -49,7 +50,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, with a checksum of their ids."""
-    return pack(docs, BYTE_BPE, end_id=1).select(
+    # Its workers have been through other stages: less is left for the encoder's memory.
+    return pack(docs, BYTE_BPE, end_id=1, remembered=FEW_REMEMBERED).select(
         "doc_id",
         "start",
         "length",

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import map_arrow
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 SCHEMA = (
     "start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
@@ -32,7 +32,7 @@ SCHEMA = (
 #: Sequence numbers a partition may use.
 SPAN = 1 << 40
 #: Output bytes sent together, at most about.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 23
 
 
 class Packer:
@@ -134,7 +134,8 @@ def pack(
     tokenizer_path: str,
     end_id: int,
     window: int = 2048,
-    max_open: int = 2048,
+    max_open: int = 4096,
+    remembered: int = REMEMBERED,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -145,7 +146,7 @@ def pack(
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, end_id).encode
+        encode = encoder(tokenizer_path, end_id, remembered).encode
         packer = Packer(window, max_open)
         first = TaskContext.get().partitionId() * SPAN
         ids_type = None

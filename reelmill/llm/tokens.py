@@ -16,10 +16,11 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from .common import worker_cache  # noqa: E402
 
-#: Distinct pieces of text a worker remembers before it forgets some (some 50 MB).
-REMEMBERED = 300_000
+#: Distinct pieces of text a worker remembers before it forgets some: 50 MB, or half of
+#: that where little memory is left.
+REMEMBERED, FEW_REMEMBERED = 300_000, 120_000
 #: Characters of text that are split and looked up together.
-TOGETHER = 1 << 19
+TOGETHER = 1_000_000
 
 #: The tokenizer's own split of a text into pieces (fixed value of byte-level BPE), for
 #: the characters of COMMON.
@@ -51,7 +52,8 @@ class Encoder:
     #: Stands for the end of a text among its pieces; no text has it in COMMON.
     END = "\0"
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -67,7 +69,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the more used half of what may be remembered."""
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2 + 1])
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.remembered // 2 + 1])
         pieces = list(self.known)
         self.known = _Numbers(zip([pieces[k] for k in kept], range(len(kept)), strict=True))
         self.arena = self._ids(kept)
@@ -127,7 +129,7 @@ class Encoder:
                 pieces += PIECE.findall(text)
                 pieces.append(self.END)
             cuts.append(len(pieces))
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         before = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
@@ -144,6 +146,6 @@ class Encoder:
 
 
 @worker_cache
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, remembered: int = REMEMBERED) -> Encoder:
     """One encoder per worker: its memory serves all tasks that run there."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, remembered)

@@ -41,10 +41,9 @@ def test_encoder_equals_the_library(texts):
 
 
 def test_encoder_forgets_when_its_memory_is_full(monkeypatch):
-    monkeypatch.setattr("reelmill.llm.tokens.REMEMBERED", 3)
     monkeypatch.setattr("reelmill.llm.tokens.TOGETHER", 8)
     texts = ["one two", "three four", "one five", "<|endoftext|>x", None, "six", "one two", " one"] * 3
-    got = [x.tolist() for x in Encoder(BPE, 7).encode(texts)]
+    got = [x.tolist() for x in Encoder(BPE, 7, 3).encode(texts)]
     assert got == [ids_of(t, 7).tolist() for t in texts]
 
 
