@@ -107,7 +107,8 @@ def _leanly(fn: Callable, kept: str, batches: Iterator) -> Iterator[pa.RecordBat
     try:
         yield from fn(batches)
     finally:
-        _give_back()
+        if not kept:  # else the next task here has use for it
+            _give_back()
 
 
 def _give_back() -> None:
