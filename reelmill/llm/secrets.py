@@ -9,7 +9,8 @@ are scored and redacted in a single projection, without a shuffle or a user func
 
 Findings are labelled by rules that are sure either way and leave the rest open:
 known key formats and values assigned to a telling name are secrets; plain words,
-numbers and paths are not.  At most ``per_label`` findings of each label are learnt
+numbers and paths are not.  A key of a known format, alone or between signs, scores 1
+whatever the forest says.  At most ``per_label`` findings of each label are learnt
 from, those with the smallest hash; all documents are scanned for them.
 
 Defined results: null and empty texts have no candidates; a null path is an empty one;
@@ -37,8 +38,9 @@ BEFORE, AFTER = 48, 16
 # Formats of issued keys, telling names, names of test folders, and the
 # dictionary, common words and word parts of the languages at hand.
 KEY_FORMAT = (
-    r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_\-]{35}"
-    r"|xox[abprs]-[0-9A-Za-z\-]{10,}|sk_live_[0-9A-Za-z]{16,})$"
+    r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"
+    r"|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[0-9A-Za-z\-]{10,}|sk_live_[0-9A-Za-z]{16,})"
+    r"(?![A-Za-z0-9])"
 )
 NAMED = r"(?i)(token|secret|passwd|password|pwd|api_?key|access_?key|auth|credential)\w*\W{0,6}$"
 TEST_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
@@ -234,6 +236,10 @@ class Forest:
             total = total + walk(tree)
         return total / len(self.trees)
 
+    def judged(self, value: Column, f: Column) -> Column:
+        """The score that counts: a key of a known format is a secret whatever the forest learnt."""
+        return F.when(value.rlike(KEY_FORMAT), 1.0).otherwise(self.score(value, f))
+
 
 def _tree(node) -> tuple:
     """A JVM node as nested tuples: (probability,) or (feature, threshold, low, high)."""
@@ -282,7 +288,7 @@ def find_secrets(
     """Every candidate: id, start (code points before it), value, score, is_secret."""
     findings = stage(candidates(docs, id_col, text_col, path_col), "findings")
     forest = fit_forest(findings, per_label)
-    score = forest.score(F.col("value"), F.col("f"))
+    score = forest.judged(F.col("value"), F.col("f"))
     return findings.select(
         F.col("id").alias(id_col), "start", "value", F.round(score, 6).alias("score")
     ).withColumn("is_secret", F.col("score") >= threshold)
@@ -297,7 +303,7 @@ def redact(
         shown = F.transform(
             found,
             lambda c: F.when(
-                F.round(forest.score(c["value"], c["f"]), 6) >= threshold, F.lit(mark)
+                F.round(forest.judged(c["value"], c["f"]), 6) >= threshold, F.lit(mark)
             ).otherwise(c["value"]),
         )
         return F.array_join(
