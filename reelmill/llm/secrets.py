@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more of the characters keys are made of.  A text is split
-at its candidates, which gives each one its place and the words around it in linear time.
+A candidate is a value of six or more characters assigned to a telling name, in quotes up
+to the closing one and otherwise up to a space, or else a run of 16 or more of the
+characters keys are made of.  A text is split at its candidates, which gives each one its place and the words around it in linear time.
 The forest sees its length, character transitions and classes, how much of it a
 dictionary covers, the document's path and the neighbouring words.  It is fitted by
 Spark ML on labelled findings and compiled into one column expression, so that texts
@@ -9,8 +10,8 @@ are scored and redacted in a single projection, without a shuffle or a user func
 
 Findings are labelled by rules that are sure either way and leave the rest open:
 known key formats and values assigned to a telling name are secrets; plain words,
-numbers and paths are not.  A key of a known format, alone or between signs, scores 1
-whatever the forest says.  At most ``per_label`` findings of each label are learnt
+numbers and paths are not.  What the rules are sure is a secret scores 1 whatever the
+forest says; it judges the rest.  At most ``per_label`` findings of each label are learnt
 from, those with the smallest hash; all documents are scanned for them.
 
 Defined results: null and empty texts have no candidates; a null path is an empty one;
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import let
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}"
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 48, 16
 
@@ -42,7 +42,31 @@ KEY_FORMAT = (
     r"|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[0-9A-Za-z\-]{10,}|sk_live_[0-9A-Za-z]{16,})"
     r"(?![A-Za-z0-9])"
 )
-NAMED = r"(?i)(token|secret|passwd|password|pwd|api_?key|access_?key|auth|credential)\w*\W{0,6}$"
+# Not the words author, authentic, tokenizer and secretary, which go on with other letters.
+NAME = (
+    r"(?:token(?!i[sz])|secret(?!ar)|passwd|password|pwd|api_?key|access_?key"
+    r"|auth(?!or(?!i)|entic(?!at))|credential)"
+)
+NAMED = rf"(?i){NAME}\w*\W{{0,6}}$"
+ASSIGNED = r"[=:]>?\s*[\"']?$"
+# Lookbehinds need a bound, and the cheap ones come first: it is these that most places fail.
+_AFTER_NAME = (
+    r"(?<=[=:>\"' \t])(?<=[=:]>?[ \t]{0,4}[\"']?)"
+    rf"(?<=(?i:{NAME})\w{{0,24}}[^\w\n]{{0,6}})"
+)
+_QUOTED = r"(?<=\")[^\s\"]{6,}+(?=\")|(?<=')[^\s']{6,}+(?=')"
+# Signs that end a sentence, a call, a tag or a parameter of an address are not of the value.
+_ENDS = r"[.,;)\]}&<]"
+_BARE = (
+    rf"(?=[^\s\"'.,;)\]}}&<]{{6}}|[^\s\"']{{9}})"
+    rf"(?:[^\s\"'.,;)\]}}&<]++|{_ENDS}(?!{_ENDS}{{0,3}}(?:[\s\"']|$)|\w{{1,30}}[=:]|/))++"
+)
+CANDIDATE = rf"{_AFTER_NAME}(?:{_QUOTED}|{_BARE})|[A-Za-z0-9+/_\-]{{16,}}"
+# Calls, parts of objects and references to variables, as code assigns them.
+CODE = (
+    r"^[A-Za-z_][\w.]*[(\[]|^[A-Za-z_]\w{0,19}(\.[A-Za-z_]\w{0,19})+$"
+    r"|^\$?\{+[\w.:\-]+\}*$|^\$[A-Z_][A-Z0-9_]*$|^\$\(|^<.*>?$|^%.*%$"
+)
 TEST_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
 DICTIONARY = (
     "the and ing tion ent for that with ment able ness ough ight our ous ist ver ion "
@@ -102,7 +126,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "vowels": _share(without("aeiouAEIOU"), n),
         "dictionary": _share(n - F.length(F.regexp_replace(F.lower(value), parts, "")), n),
         "named": _flag(before.rlike(NAMED)),
-        "assigned": _flag(before.rlike(r"[=:]\s*[\"']?$")),
+        "assigned": _flag(before.rlike(ASSIGNED)),
         "quoted": _flag(before.rlike(r"[\"']$") & after.rlike(r"^[\"']")),
         "test_path": _flag(path.rlike(TEST_PATH)),
         "slashes": _share(without("/"), n),
@@ -116,12 +140,16 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
 def rule_label(value: Column, f: Column) -> Column:
     """1: surely a secret; 0: surely none; null: open."""
     mixed = (f["digits"] > 0) & (f["digits"] < 1)
+    given = (f["named"] == 1) & (f["assigned"] == 1)
+    # Letters that change their case at random: no word, and no name joined of words.
+    scrambled = (f["length"] >= 16) & (f["digits"] == 0) & (f["case_changes"] >= 0.4)
+    literal = (f["slashes"] == 0) & ~value.rlike(CODE)
     return (
         F.when(value.rlike(KEY_FORMAT), 1.0)
-        .when((f["named"] == 1) & (f["assigned"] == 1) & mixed & (f["slashes"] == 0), 1.0)
-        .when(f["digits"] == 0, 0.0)
+        .when(given & (mixed | scrambled) & literal, 1.0)
+        .when((f["digits"] == 0) & ~given, 0.0)
         .when(f["digits"] == 1, 0.0)
-        .when(f["slashes"] > 0.1, 0.0)
+        .when((f["slashes"] > 0.1) & ~given, 0.0)
     )
 
 
@@ -177,7 +205,11 @@ def scan(
                     v.alias("value"),
                     let(
                         F.struct(
-                            F.right(F.get(pieces, k), F.lit(BEFORE)).alias("before"),
+                            # A long name may be a candidate itself: look back beyond one.
+                            F.right(
+                                F.concat(F.coalesce(F.get(values, k - 1), F.lit("")), F.get(pieces, k)),
+                                F.lit(BEFORE),
+                            ).alias("before"),
                             F.left(F.get(pieces, k + 1), F.lit(AFTER)).alias("after"),
                         ),
                         lambda c: features(v, c["before"], c["after"], path),
@@ -237,8 +269,8 @@ class Forest:
         return total / len(self.trees)
 
     def judged(self, value: Column, f: Column) -> Column:
-        """The score that counts: a key of a known format is a secret whatever the forest learnt."""
-        return F.when(value.rlike(KEY_FORMAT), 1.0).otherwise(self.score(value, f))
+        """The score that counts: what is surely a secret is one whatever the forest learnt."""
+        return F.when(rule_label(value, f) == 1, 1.0).otherwise(self.score(value, f))
 
 
 def _tree(node) -> tuple:
