@@ -2,12 +2,19 @@
 
 A text is brought to a canonical form (lower case, no copyright lines, one space for
 all punctuation, one spelling of equivalent words), and its digest is looked up among
-those of known licences by a hash join.  Looked up are the entire text and each of its
-lines, as a notice is often a line of its own.  No part of a text is compared otherwise.
+those of known licences by a hash join.  Looked up are the entire text, each of its lines,
+as a notice is often a line of its own, and what begins at a line and goes on over further
+ones: as many characters as a known text has, to the end of a word.  That finds a wrapped
+notice or a whole licence within a longer text.  No part is compared otherwise.
+
+Known are the lines and short texts below, and those in the folder ``license_texts``, one
+file each, named by the licence; with and without what follows the terms.
 
 Spelling rules and digests are dear, so they are applied only where a match is possible:
-the first word is that of a known licence, in one of its spellings, and the length is at
-most twice the greatest known one, as no rule shortens a text by half.
+the first words are those of a known licence, in one of their spellings, and the length is
+at most twice the greatest one that begins so, as no rule shortens a text by half.  What
+goes on over lines is followed for a quarter as many lines as that text has characters,
+and 60 more.
 
 Defined results: null, empty and letters texts match nothing; repeated rows are matched
 one by one; of several licences with one canonical text the first name counts; an
@@ -16,6 +23,8 @@ empty table gives an empty one; further columns are not read.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,12 +147,33 @@ COPYRIGHT_LINE = (
     r"(^|\n)[^a-z0-9\n]*(copyright[^a-z\n]*[0-9]{4}|copyright *\(c\)|copyright *©"
     r"|\(c\) *[0-9c]|©|all rights reserved)[^\n]*"
 )
+#: A name before the year, or the places of both in a form.
+NAMED_COPYRIGHT = (
+    r"(^|\n)[^a-z0-9\n]*copyright [^\n]{1,120}?(\b[0-9]{4}|\byyyy\b)[^a-z\n]*"
+    r"(all rights reserved|name of copyright owner|<[^>\n]*>)?[^a-z\n]*(?=\n|$)"
+    r"|(^|\n)[^a-z0-9\n]*copyright \[yyyy\][^\n]*"
+)
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
+TEXTS = Path(__file__).with_name("license_texts")
+END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> tuple:
+    """All known (license, text): ``KNOWN`` and the files, read by the driver."""
+    rows = list(KNOWN)
+    for file in sorted(TEXTS.glob("*.txt")):
+        name, text = file.stem.split("~")[0], file.read_text(encoding="utf-8")
+        rows.append((name, text))
+        if END in text:
+            rows.append((name, text[: text.index(END) + len(END)]))
+            rows.append((name, text[: text.index(END)]))
+    ids = sorted({name for name, _ in rows})
+    return tuple(rows + [(name, f"SPDX-License-Identifier: {name}") for name in ids])
 
 
 def squeezed(text: Column) -> Column:
     """Lower case, no copyright lines, a space for all but letters, digits and line ends."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"{COPYRIGHT_LINE}|{NAMED_COPYRIGHT}", "\n")
     return F.regexp_replace(plain, PUNCTUATION, " ")
 
 
@@ -165,49 +195,129 @@ def first_words(canonical: list[str]) -> list[str]:
         found |= more
 
 
+#: A text's first words, by which known ones are told apart before they are compared.
+FIRST = 3
+
+
+def beginning(canonical: Column) -> Column:
+    return F.substring_index(canonical, " ", FIRST)
+
+
 def scan_licenses(
-    docs: DataFrame, known: tuple = KNOWN, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, known: tuple | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per document: id, license (of the entire text), n_license_lines, line_licenses."""
+    """Per document: id, license (of the entire text), n_license_lines, line_licenses.
+
+    Lines that are a known text count, and places where one of several lines begins.
+    """
+    known = known_texts() if known is None else known
     rows = docs.sparkSession.createDataFrame(list(known), "license string, text string").select(
         "license", spelled(squeezed(F.col("text"))).alias("canonical")
     )
     canonical = [r["canonical"] for r in rows.collect()]  # a row per known licence text
-    longest, starts = max(map(len, canonical), default=0), first_words(canonical)
+    starts, lengths = first_words(canonical), {}
+    for c in canonical:
+        lengths.setdefault(" ".join(c.split(" ")[:FIRST]), set()).add(len(c))
+    table = [x for k, ns in sorted(lengths.items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(ns))))]
+    by_beginning = F.create_map(*table) if table else F.lit(None).cast("map<string,array<int>>")
     digests = rows.groupBy(F.sha2("canonical", 256).alias("digest")).agg(
         F.min("license").alias("license")
     )
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
-    def units(text: Column) -> Column:
-        def plausible(s: Column) -> Column:
-            first = F.regexp_extract(s, r"^[ \n]*([^ \n]+)", 1)
-            letters = F.length(F.translate(s, " \n", ""))
-            return first.isin(starts) & (letters <= 2 * longest)
+    def known_lengths(s: Column) -> Column:
+        """Lengths of the known texts that begin as this one, or null."""
+        first = F.regexp_extract(s, r"^[ \n]*([^ \n]+)", 1)
+        head = F.left(F.regexp_replace(F.left(s, F.lit(4000)), r"^[ \n]+", ""), F.lit(400))
+        return F.when(first.isin(starts), by_beginning[beginning(spelled(head))])
 
-        lines = F.filter(F.split(text, "\n", -1), plausible)
-        whole = F.filter(F.array(text), plausible)
+    def bounded(s: Column, ns: Column) -> Column:
+        return F.length(F.translate(s, " \n", "")) <= 2 * F.array_max(ns)
+
+    def units(text: Column) -> Column:
+        no_lengths = F.array().cast("array<int>")
 
         def marked(s: Column, entire: bool) -> Column:
-            return F.struct(F.lit(entire).alias("entire"), s.alias("s"))
+            return F.struct(
+                F.lit(entire).alias("entire"), s.alias("s"), F.lit("").alias("line"),
+                F.lit(-1).alias("place"), no_lengths.alias("ns"),
+            )
+
+        def with_lines(lines: Column) -> Column:
+            begun = F.filter(
+                F.transform(
+                    lines,
+                    # The words of a beginning may go on in the next lines.
+                    lambda s, k: F.struct(
+                        s.alias("s"), k.alias("k"),
+                        F.when(
+                            F.regexp_extract(s, r"^ *([^ ]+)", 1).isin(starts),
+                            known_lengths(F.array_join(F.slice(lines, k + 1, F.lit(FIRST + 1)), "\n")),
+                        ).alias("ns"),
+                    ),
+                ),
+                lambda x: x["ns"].isNotNull(),
+            )
 
+            def with_begun(begun: Column) -> Column:
+                alone = F.filter(begun, lambda x: bounded(x["s"], x["ns"]))
+                runs = F.filter(begun, lambda x: x["k"] < F.size(lines) - 1)
+                return F.concat(
+                    F.transform(alone, lambda x: marked(x["s"], False)),
+                    F.transform(
+                        runs,
+                        lambda x: F.struct(
+                            F.lit(False).alias("entire"),
+                            F.left(
+                                F.array_join(
+                                    F.slice(lines, x["k"] + 1, (F.array_max(x["ns"]) / 4 + 60).cast("int")), "\n"
+                                ),
+                                3 * F.array_max(x["ns"]) + 400,
+                            ).alias("s"),
+                            x["s"].alias("line"),
+                            x["k"].alias("place"),
+                            x["ns"].alias("ns"),
+                        ),
+                    ),
+                )
+
+            return let(begun, with_begun)
+
+        whole = F.filter(F.array(text), lambda s: F.coalesce(bounded(s, known_lengths(s)), F.lit(False)))
         return F.concat(
-            F.transform(whole, lambda s: marked(s, True)),
-            F.transform(lines, lambda s: marked(s, False)),
+            F.transform(whole, lambda s: marked(s, True)), let(F.split(text, "\n", -1), with_lines)
         )
 
     exploded = docs.select(
         F.col(id_col).alias("id"),
         key.alias("key"),
         F.explode(let(squeezed(F.col(text_col)), units)).alias("unit"),
-    )
+    ).select("id", "key", "unit.*")
+
+    def spans(c: Column) -> Column:
+        """What is looked up: all, or of several lines the beginnings longer than the first."""
+        line = F.length(spelled(F.col("line")))
+        ends = F.filter(
+            F.col("ns"), lambda n: (n > line) & F.substring(c, n + 1, F.lit(1)).isin(["", " "])
+        )
+        return F.when(F.col("place") < 0, F.array(c)).otherwise(
+            F.transform(ends, lambda n: F.left(c, n))
+        )
+
+    several = F.col("place") >= 0
     matched = (
-        exploded.select("id", "key", "unit.entire", F.sha2(spelled(F.col("unit.s")), 256).alias("digest"))
+        exploded.select(
+            "id", "key", "entire", "place", F.explode(let(spelled(F.col("s")), spans)).alias("span")
+        )
+        .select("id", "key", "entire", "place", F.sha2("span", 256).alias("digest"))
         .join(F.broadcast(digests), "digest")  # a row per known licence text
         .groupBy("id", "key")
         .agg(
             F.min(F.when(F.col("entire"), F.col("license"))).alias("license"),
-            F.count_if(~F.col("entire")).alias("lines"),
+            (
+                F.count_if(~F.col("entire") & ~several)
+                + F.size(F.collect_set(F.when(several, F.col("place"))))
+            ).alias("lines"),
             F.sort_array(F.collect_set(F.when(~F.col("entire"), F.col("license")))).alias("names"),
         )
     )

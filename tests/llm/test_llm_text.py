@@ -174,6 +174,33 @@ def test_licence_texts_match_in_any_dress(docs):
     assert licenses.scan_licenses(docs([])).collect() == []
 
 
+def test_full_texts_headers_and_wrapped_notices_match(docs):
+    import textwrap
+
+    def file(name):
+        return (licenses.TEXTS / f"{name}.txt").read_text()
+
+    names = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0",
+             "CC0-1.0", "Unlicense", "0BSD", "Zlib"]
+    mit = "\n".join(f" * {x}" for x in textwrap.wrap(licenses.KNOWN[0][1], 60))
+    rows = [(k, file(f"{n}~full")) for k, n in enumerate(names)]
+    filled = file("Apache-2.0~full").replace("[yyyy] [name of copyright owner]", "2019 Jane Doe")
+    header = "\n".join(f"# {x}".rstrip() for x in file("Apache-2.0~header").split("\n"))
+    rows += [
+        (20, filled), (21, f"# Copyright Jane Doe 2019\n#\n{header}\nimport os\n"),
+        (22, f"/*\n * Copyright Jane Doe 2019\n *\n{mit}\n */\nint main() {{}}\n"),
+        (23, "An intro.\n\n" + file("AGPL-3.0-or-later~header") + "\nMore."),
+        (24, mit.replace("free of charge", "for a fee")), (25, "Copyright Jane Doe 2019\n" + licenses.KNOWN[0][1]),
+        (26, "Before.\n" + file("GPL-3.0-only~full") + "\nAfter."),
+    ]
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan_licenses(docs(rows)).collect()}
+    assert [got[k][0] for k in range(len(names))] == names
+    assert got[20][0] == "Apache-2.0" and got[25][0] == "MIT"
+    assert got[21] == (None, 1, "Apache-2.0") and got[22] == (None, 1, "MIT")
+    assert got[23] == (None, 1, "AGPL-3.0-or-later") and got[24] == (None, 0, "")
+    assert got[26][0] is None and "GPL-3.0-only" in got[26][2].split(",")
+
+
 # --- benchmarks ---------------------------------------------------------------------
 
 
