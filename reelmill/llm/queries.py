@@ -17,9 +17,12 @@ from .langid import fit_profiles, identify
 from .licenses import scan_licenses
 from .packing import pack
 from .quality import quality_rules
+from .runs import periodic_runs
 from .secrets import find_secrets
+from .templates import extract_main_text
 from .token_files import read_token_files, write_token_files
 from .unigram import token_counts
+from .vector_codes import compress
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -119,3 +122,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "is_secret",
     )
+
+
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"))

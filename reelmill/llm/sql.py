@@ -8,7 +8,6 @@ from .quality import STOP_WORDS
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
 
-
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -27,7 +26,54 @@ def _spelled(text: str) -> str:
 
 _KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
 
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Product quantisation, a round after the other; ids are unique in the given tables."""
+    near = """select c.vec_id, c.part, arg_min(b.entry, {far} * 1000 + b.entry) as entry, min({far}) as far
+  from cut c join book{k} b on b.part = c.part group by c.vec_id, c.part"""
+    far = "list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""near{k} as (
+  {near.format(far=far, k=k)}
+), total{k} as (
+  select part, entry, place, sum(c) as s, count(*) as n
+  from (select n.part, n.entry, unnest(range(len(c.v))) as place, unnest(c.v) as c
+    from near{k} n join cut c on c.vec_id = n.vec_id and c.part = n.part) x
+  group by part, entry, place
+), book{k + 1} as (
+  select b.part, b.entry, coalesce(t.v, b.v) as v from book{k} b left join (
+    select part, entry, list(cast((s - ((s % n) + n) % n) // n as bigint) order by place) as v
+    from total{k} group by part, entry) t on t.part = b.part and t.entry = b.entry
+)""")
+    return f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cut as (
+  select vec_id, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] as v
+  from kept, (select unnest(range({parts})) as part) p
+), book0 as (
+  select part, entry, v from cut
+  join (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept) f using (vec_id)
+  where entry < {entries}
+), {", ".join(steps)}, near as (
+  {near.format(far=far, k=rounds)}
+), coded as (
+  select vec_id, string_agg(format('{{:02x}}', entry), '' order by part) as code,
+    cast(sum(far) as bigint) as error from near group by vec_id
+)
+select c.vec_id, code, error,
+  cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, place)) from (
+    select part, entry, unnest(range(len(v))) as place, unnest(v) as c from book{rounds}) x) as codebooks_sha256
+from coded c join kept k on k.vec_id = c.vec_id
+"""
+
+
 SQL: dict[str, str] = {
+    "op12_vector_codes": _codes(),
     "op5_quality_rules": rf"""
 with d as (
   select doc_id, coalesce(text, '') as t from documents
