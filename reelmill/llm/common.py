@@ -6,7 +6,8 @@ import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 from pathlib import Path
 
 import pyarrow as pa
@@ -35,6 +36,65 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+def all_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [named(c) for c in df.columns]
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def smallest_hashes(df: DataFrame, group: str, hash_col: str, most: int) -> dict:
+    """For each value of ``group`` a hash below which it has at most ``most`` rows, if
+    not for copies of a single hash.
+
+    Rows are counted by the first bits of their hash, then by more bits of those in the
+    range where the limit falls, until at least half of ``most`` is below it or all 64
+    bits are told apart.  No group is sorted or gathered; each round is a scan with a few
+    thousand counts per value.  Take rows with a hash *below* the one returned; None is
+    above all of them.  ``group`` must have few values.
+    """
+    width, spread = 12, F.col(hash_col).bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
+    limits: dict = {}
+    # Where the limit falls: bits known so far, their value, rows below.
+    open_at = {r[0]: (0, 0, 0) for r in df.select(group).distinct().collect()}
+    while open_at:
+        bits = next(iter(open_at.values()))[0]
+        step = min(width, 64 - bits)
+        wanted = [
+            F.col(group).eqNullSafe(F.lit(value))
+            & (F.shiftrightunsigned(spread, 64 - bits) == known if bits else F.lit(True))
+            for value, (_, known, _) in open_at.items()
+        ]
+        part = F.shiftrightunsigned(spread, 64 - bits - step).bitwiseAND((1 << step) - 1)
+        counts: dict = {}
+        found = df.where(reduce(or_, wanted)).groupBy(F.col(group).alias("g"), part.alias("p"))
+        for value, p, n in found.agg(F.count("*").alias("n")).collect():
+            counts.setdefault(value, {})[p] = n
+        still = {}
+        for value, (_, known, below) in open_at.items():
+            ranges = counts.get(value, {})
+            p, full = 0, 1 << step
+            while p < full and below + ranges.get(p, 0) <= most:
+                below += ranges.get(p, 0)
+                p += 1
+            if p == full and bits == 0:
+                limits[value] = None
+                continue
+            at = (known << step) + p
+            if below * 2 >= most or bits + step == 64:
+                # The first hash that is not taken, back in signed order; of copies of one
+                # hash that are more than ``most`` by themselves, the next one.
+                first = (at << (64 - bits - step)) + (below * 2 < most)
+                limits[value] = None if first >> 64 else first - (1 << 63)
+            else:
+                still[value] = (bits + step, at, below)
+        open_at = still
+    return limits
+
+
 def held_out(id_col: str) -> Column:
     """Documents no model may learn from: a fifth, by a checksum of the id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -96,7 +156,9 @@ def map_arrow(df: DataFrame, fn: Callable, schema, keep: Callable | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _leanly(fn, kept, batches)
 
-    return df.mapInArrow(run, schema)
+    # Spark looks these columns up by name, in which a dot has a meaning.
+    plain = [c if c.replace("_", "").isalnum() else f"__{k}" for k, c in enumerate(df.columns)]
+    return df.toDF(*plain).mapInArrow(run, schema)
 
 
 def _leanly(fn: Callable, kept: str, batches: Iterator) -> Iterator[pa.RecordBatch]:

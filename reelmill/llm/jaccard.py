@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import broadcast_if_small, map_arrow
+from .common import all_of, broadcast_if_small, map_arrow, named
 from .components import components
 from .shingles import shingle_sets
 
@@ -338,7 +338,7 @@ def jaccard_components(
     ranked: int = 500_000,
 ) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     frequent = frequent_shingles(docs, width, least, ranked)
     keyed = stage(prefixes(docs, frequent, width), "prefixes")
 
@@ -392,32 +392,40 @@ def jaccard_components(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one document of each component: that of smallest id.
 
-    Rows that repeat an id are one document: the first by text stays.  Documents without
-    words, and rows without an id, are linked with nothing and stay.
+    Copies of a row are one document.  Where ids are repeated with different texts, a
+    document is an id with a hash of its text, and goes only if that text links with one
+    of a smaller id, or a smaller hash under the same id.  Documents without words, and
+    rows without an id, are linked with nothing and stay.
     """
-    found = stage(jaccard_components(docs, id_col, text_col), "components")
-    linked_away = found.where(F.col(id_col) != F.col("component_id")).select(
-        F.col(id_col).alias("__gone")
-    )
-    gone = broadcast_if_small(stage(linked_away.distinct(), "gone"))
-    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    key = F.xxhash64(named(text_col))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), key.alias("key"))
     repeated = stage(
-        found.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("__again"))
-        .count()
-        .where("count > 1")
-        .select("__again"),
+        rows.where("id is not null")
+        .groupBy("id")
+        .agg(F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
+        .where("rows > 1"),
         "repeated",
     )
+    plain = repeated.where("low <> high").isEmpty()
+    # A struct orders and joins like the id it starts with.
+    one = "id" if plain else F.when(F.col("id").isNotNull(), F.struct("id", "key")).alias("id")
+    found = stage(jaccard_components(rows.select(one, "text"), "id", "text"), "components")
+    gone = stage(found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
+    mine = named(id_col)
+    if not plain:
+        mine = F.when(mine.isNotNull(), F.struct(mine.alias("id"), key.alias("key")))
+    left = docs.join(broadcast_if_small(gone), mine == F.col("__gone"), "left_anti")
     if repeated.isEmpty():
         return left
-    again = broadcast_if_small(repeated)
-    once = left.join(again, F.col(id_col) == F.col("__again"), "left_anti")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    again = broadcast_if_small(repeated.select(F.col("id").alias("__again")))
+    worded = F.regexp_like(F.coalesce(named(text_col), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]"))
+    twice = left.join(again, named(id_col) == F.col("__again"), "left_semi").where(worded)
+    rest = left.join(again, named(id_col) == F.col("__again"), "left_anti")
+    bare = left.join(again, named(id_col) == F.col("__again"), "left_semi").where(~worded)
+    # One of the rows of a document: the smallest one, so that a rerun keeps the same.
+    whole = F.struct(*all_of(docs)).alias("__row")
     several = (
-        left.join(again, F.col(id_col) == F.col("__again"), "left_semi")
-        .withColumn("__nth", F.row_number().over(first))
-        .where("__nth = 1")
-        .drop("__nth")
+        twice.groupBy(named(id_col).alias("__id"), key.alias("__key")).agg(F.min(whole).alias("__row"))
     )
-    return once.unionByName(several)
+    several = several.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return rest.unionByName(bare).unionByName(several)

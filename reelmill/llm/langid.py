@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import map_arrow
+from .common import map_arrow, named
 
 UNKNOWN = "und"
 #: Letters of a text counted together.
@@ -96,7 +96,13 @@ def _sample(labelled: DataFrame, id_col: str, lang_col: str, text_col: str, per_
     if len(limits) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     small = labelled.sparkSession.createDataFrame(limits, "lang string, most long")
-    return rows.join(F.broadcast(small), "lang").where(F.col("h") <= F.col("most"))
+    # An id that a third of all rows repeat is one document here: that of smallest text.
+    return (
+        rows.join(F.broadcast(small), "lang")
+        .where(F.col("h") <= F.col("most"))
+        .groupBy("lang", "h")
+        .agg(F.min("text").alias("text"))
+    )
 
 
 def fit_profiles(
@@ -148,10 +154,11 @@ class Profiles:
         for lang, gram, rank in rows:
             self.ranks[self.langs.index(lang), np.searchsorted(self.grams, gram)] = rank
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score, and how many distinct n-grams they come from."""
         grams, counts = count_grams(text or "")
         if not len(grams) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, len(grams)
         grams = grams[np.argsort(-counts, kind="stable")[: self.size]]
         at = np.searchsorted(self.grams, grams)
         at[at == len(self.grams)] = 0
@@ -160,13 +167,22 @@ class Profiles:
         apart = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(grams))))
         distance = apart.sum(axis=1)
         best = int(np.argmin(distance))
-        return self.langs[best], 1.0 - float(distance[best]) / (len(grams) * self.size)
+        score = 1.0 - float(distance[best]) / (len(grams) * self.size)
+        return self.langs[best], score, len(counts)
 
 
-def identify(docs: DataFrame, profiles: list[Row], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; no other column has a say."""
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+def identify(
+    docs: DataFrame,
+    profiles: list[Row],
+    text_col: str = "text",
+    names: tuple[str, str, str] = ("lang_pred", "score", "n_grams"),
+) -> DataFrame:
+    """``docs`` with language, score and number of distinct n-grams, under ``names``.
+
+    Columns of ``docs`` that have one of these names give way; none but the text has a say.
+    """
+    kept = [c for c in docs.columns if c.lower() not in names]
+    docs = docs.select(*[named(c) for c in kept])
     at = kept.index(text_col)
     rows = [tuple(r) for r in profiles]
 
@@ -174,16 +190,14 @@ def identify(docs: DataFrame, profiles: list[Row], text_col: str = "text") -> Da
         model = Profiles(rows)
         for batch in batches:
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
+            kinds = (pa.string(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array([f[0] for f in found], pa.string()),
-                    pa.array([f[1] for f in found], pa.float64()),
-                ],
-                names=[*kept, "lang_pred", "score"],
+                [*batch.columns, *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]],
+                names=[*kept, *names],
             )
 
+    kinds = (StringType(), DoubleType(), LongType())
     schema = StructType(
-        [*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+        [*docs.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds, strict=True)]]
     )
     return map_arrow(docs, run, schema)

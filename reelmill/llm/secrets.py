@@ -10,28 +10,35 @@ are scored and redacted in a single projection, without a shuffle or a user func
 
 Findings are labelled by rules that are sure either way and leave the rest open:
 known key formats and values assigned to a telling name are secrets; plain words,
-numbers and paths are not.  What the rules are sure is a secret scores 1 whatever the
-forest says; it judges the rest.  At most ``per_label`` findings of each label are learnt
-from, those with the smallest hash; all documents are scanned for them.
+numbers and paths are not.  A key of a known format scores 1 whatever the forest says.
+A value given to a telling name is a secret unless trees that see neither name nor sign
+clearly doubt it (a score under ``DOUBT``): from the values of all labels they learn which
+are words of a kind.  The rest is the forest's alone.  At most ``per_label`` findings of each label
+are learnt from, those with the smallest hashes; all documents are scanned for them.
 
 Defined results: null and empty texts have no candidates; a null path is an empty one;
-repeated rows are scanned one by one; if findings of either label are missing, the
+repeated rows are scanned one by one, and learnt from once; if findings of either label are missing, the
 rules alone decide; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import let
+from .common import let, named, smallest_hashes
 
+#: Score of the trees without BLIND under which a value given to a telling name is no secret.
+DOUBT = 0.25
+#: Documents with a secret that are known to all tasks; beyond, all texts are cut anew.
+MARKED = 1_000_000
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 48, 16
 
@@ -95,6 +102,12 @@ FEATURES = (
 )
 
 
+#: What shows that a value was given to a name; trees that check such labels do not see it.
+BLIND = ("named", "assigned", "quoted", "words_before")
+#: Dictionary coverage from which a value without a telling name is words and no key.
+WORDY = 0.6
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
 
@@ -150,6 +163,7 @@ def rule_label(value: Column, f: Column) -> Column:
         .when((f["digits"] == 0) & ~given, 0.0)
         .when(f["digits"] == 1, 0.0)
         .when((f["slashes"] > 0.1) & ~given, 0.0)
+        .when((f["dictionary"] >= WORDY) & (f["named"] == 0), 0.0)
     )
 
 
@@ -229,16 +243,19 @@ def scan(
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
-    """A row per candidate: id, start, value, its features ``f``, its rule ``label``."""
+    """A row per candidate: id, key of the text, start, value, features ``f``, rule ``label``."""
     found = scan(
-        F.col(text_col),
-        F.col(path_col),
+        named(text_col),
+        named(path_col),
         lambda pieces, values, found, starts: F.arrays_zip(
             found.alias("c"), starts.alias("start")
         ),
     )
-    return docs.select(F.col(id_col).alias("id"), F.explode(found).alias("x")).select(
+    key = F.xxhash64(named(text_col))
+    rows = docs.select(named(id_col).alias("id"), key.alias("key"), F.explode(found).alias("x"))
+    return rows.select(
         "id",
+        "key",
         F.col("x")["start"].alias("start"),
         F.col("x")["c"]["value"].alias("value"),
         F.col("x")["c"]["f"].alias("f"),
@@ -249,64 +266,89 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> Da
 class Forest:
     """A fitted forest as a column expression over a struct of features."""
 
-    def __init__(self, trees: list[tuple]):
-        self.trees = trees
+    def __init__(self, trees: list[tuple], blind_trees: Sequence[tuple] = ()):
+        self.trees, self.blind_trees = trees, blind_trees
 
     def score(self, value: Column, f: Column) -> Column:
         """Probability of a secret; without trees, what the rules say."""
         if not self.trees:
             return F.coalesce(rule_label(value, f), F.lit(0.0))
+        return self._mean(self.trees, f)
 
+    @staticmethod
+    def _mean(trees: Sequence[tuple], f: Column) -> Column:
         def walk(node: tuple) -> Column:
             if len(node) == 1:
                 return F.lit(node[0])
             feature, threshold, low, high = node
             return F.when(f[FEATURES[feature]] <= threshold, walk(low)).otherwise(walk(high))
 
-        total = walk(self.trees[0])
-        for tree in self.trees[1:]:
+        total = walk(trees[0])
+        for tree in trees[1:]:
             total = total + walk(tree)
-        return total / len(self.trees)
+        return total / len(trees)
+
+    def judged(self, value: Column, f: Column, threshold: float) -> Column:
+        """The score that counts: formats are sure, telling names as long as it does not doubt."""
+        score = self.score(value, f)
+        if not self.trees:
+            return score
+        given = rule_label(value, f) == 1
+        doubt = self._mean(self.blind_trees, f)
+        return (
+            F.when(value.rlike(KEY_FORMAT), 1.0)
+            .when(given & (doubt < DOUBT), doubt)
+            .when(given, F.greatest(score, F.lit(float(threshold))))
+            .otherwise(score)
+        )
 
-    def judged(self, value: Column, f: Column) -> Column:
-        """The score that counts: what is surely a secret is one whatever the forest learnt."""
-        return F.when(rule_label(value, f) == 1, 1.0).otherwise(self.score(value, f))
 
+def _tree(node, at: Sequence[int] = range(len(FEATURES))) -> tuple:
+    """A JVM node as nested tuples: (probability,) or (feature, threshold, low, high).
 
-def _tree(node) -> tuple:
-    """A JVM node as nested tuples: (probability,) or (feature, threshold, low, high)."""
+    ``at`` gives the feature of each place in the vectors.
+    """
     if node.getClass().getSimpleName() == "LeafNode":
         counts = list(node.impurityStats().stats())
         return (counts[1] / sum(counts),)
     split = node.split()
-    return (split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild()))
+    low, high = _tree(node.leftChild(), at), _tree(node.rightChild(), at)
+    return (at[split.featureIndex()], split.threshold(), low, high)
 
 
 def fit_forest(
     findings: DataFrame, per_label: int = 5000, trees: int = 20, depth: int = 5, seed: int = 7
 ) -> Forest:
     """A forest over labelled findings (columns id, start, value, f, label)."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("value", "id", "start"), "id", "start")
+    labelled = findings.where(F.col("label").isNotNull()).withColumn(
+        "h", F.xxhash64("value", "id", "start")
+    )
+    below = [
+        (F.col("label") == label) & (F.lit(True) if h is None else F.col("h") < h)
+        for label, h in smallest_hashes(labelled, "label", "h", per_label).items()
+    ]
+    # Rows that repeat a finding have its hash: they are one.
     chosen = (
-        findings.where(F.col("label").isNotNull())
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= per_label)
+        labelled.where(reduce(or_, below, F.lit(False)))
+        .groupBy("label", "h")
+        .agg(F.min("f").alias("f"))
     )
-    # At most two times per_label rows: one sorted partition makes the forest repeatable.
+    # At most twice per_label rows: one sorted partition makes the forest repeatable.
     sample = stage(
-        chosen.select("label", "f.*", "id", "start")
-        .repartition(1)
-        .sortWithinPartitions("label", "id", "start")
-        .drop("id", "start"),
+        chosen.select("label", "f.*", "h").repartition(1).sortWithinPartitions("label", "h").drop("h"),
         "findings",
     )
     if sample.select("label").distinct().count() < 2:
         return Forest([])
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    model = RandomForestClassifier(
-        labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxBins=32
-    ).fit(vectors)
-    return Forest([_tree(t._call_java("rootNode")) for t in model.trees])
+
+    def fitted(names: list[str]) -> list[tuple]:
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
+        model = RandomForestClassifier(
+            labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxBins=32
+        ).fit(vectors)
+        return [_tree(t._call_java("rootNode"), [FEATURES.index(n) for n in names]) for t in model.trees]
+
+    return Forest(fitted(list(FEATURES)), fitted([n for n in FEATURES if n not in BLIND]))
 
 
 def find_secrets(
@@ -320,7 +362,7 @@ def find_secrets(
     """Every candidate: id, start (code points before it), value, score, is_secret."""
     findings = stage(candidates(docs, id_col, text_col, path_col), "findings")
     forest = fit_forest(findings, per_label)
-    score = forest.judged(F.col("value"), F.col("f"))
+    score = forest.judged(F.col("value"), F.col("f"), threshold)
     return findings.select(
         F.col("id").alias(id_col), "start", "value", F.round(score, 6).alias("score")
     ).withColumn("is_secret", F.col("score") >= threshold)
@@ -335,7 +377,7 @@ def redact(
         shown = F.transform(
             found,
             lambda c: F.when(
-                F.round(forest.judged(c["value"], c["f"]), 6) >= threshold, F.lit(mark)
+                F.round(forest.judged(c["value"], c["f"], threshold), 6) >= threshold, F.lit(mark)
             ).otherwise(c["value"]),
         )
         return F.array_join(
@@ -355,12 +397,28 @@ def redact_secrets(
 ) -> DataFrame:
     """``docs``, all columns, with secrets replaced in texts and ``size_col`` to match.
 
-    The size of a text without secrets stays as it is.
+    Only texts with a secret are cut again, known by id and a hash of the text; if there
+    are more than ``MARKED`` of them, all are.  The size of a text without secrets stays
+    as it is.
     """
     findings = stage(candidates(docs, id_col, text_col, path_col), "findings")
-    text, shown = F.col(text_col), F.col("__shown")
-    clean = docs.withColumn("__shown", redact(text, F.col(path_col), fit_forest(findings, per_label)))
+    forest = fit_forest(findings, per_label)
+    is_secret = F.round(forest.judged(F.col("value"), F.col("f"), 0.5), 6) >= 0.5
+    marked = stage(
+        findings.where(is_secret).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(),
+        "marked",
+    )
+    text, shown = named(text_col), F.col("__shown")
+    cut = redact(text, named(path_col), forest)
+    if marked.count() <= MARKED:
+        same = named(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
+        docs_marked = docs.join(F.broadcast(marked), same, "left")
+        cut = F.when(F.col("__key").isNotNull(), cut).otherwise(text)
+    else:
+        docs_marked = docs
+    clean = docs_marked.withColumn("__shown", cut)
+    new = {text_col: shown}
     if size_col in docs.columns:
-        size = F.length(shown).cast(docs.schema[size_col].dataType)
-        clean = clean.withColumn(size_col, F.when(shown != text, size).otherwise(F.col(size_col)))
-    return clean.withColumn(text_col, shown).select(*docs.columns)
+        kind = docs.schema[size_col].dataType
+        new[size_col] = F.when(shown != text, F.length(shown).cast(kind)).otherwise(named(size_col))
+    return clean.select(*[new[c].alias(c) if c in new else named(c) for c in docs.columns])

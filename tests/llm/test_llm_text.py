@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from llm_fixtures import docs, strange  # noqa: F401
 from reelmill.llm import decontaminate as dec
 from reelmill.llm import langid, licenses, quality, secrets
-from reelmill.llm.common import broadcast_if_small, held_out
+from reelmill.llm.jaccard import one_of_each
+from reelmill.llm.common import broadcast_if_small, held_out, smallest_hashes
 
 # --- language -----------------------------------------------------------------------
 
@@ -60,7 +61,8 @@ def test_prediction_is_the_least_out_of_place_distance():
             for lang, gs in lists.items()
         }
         best = min(sorted(distance), key=distance.get)
-        lang, score = model.predict(text)
+        lang, score, n_grams = model.predict(text)
+        assert n_grams == len(langid.count_grams(text or "")[0])
         assert lang == best and score == pytest.approx(1 - distance[best] / (len(own) * size))
 
 
@@ -71,7 +73,7 @@ def test_languages_are_told_apart(docs, strange):
     given = given.unionByName(docs([(90, "und so weiter")], None))
     profiles = langid.fit_profiles(given.where(~held_out("doc_id")), per_language=10)
     found = langid.identify(given, profiles)
-    assert found.columns == [c for c in given.columns if c != "score"] + ["lang_pred", "score"]
+    assert found.columns == [c for c in given.columns if c != "score"] + ["lang_pred", "score", "n_grams"]
     got = {r["doc_id"]: r["lang_pred"] for r in found.collect()}
     assert got == {**{k: "en" for k in range(40)}, **{k: "de" for k in range(40, 80)}, 90: "de"}
     odd = langid.identify(docs(strange), profiles).collect()
@@ -400,3 +402,86 @@ def test_small_sides_only_are_broadcast(spark):
     df = spark.range(10)
     assert "ResolvedHint" in broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in broadcast_if_small(df, 9)._jdf.queryExecution().analyzed().toString()
+
+
+# --- samples and pipeline stages ------------------------------------------------------
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_smallest_hashes_need_no_window(spark, copies):
+    random.seed(11)
+    rows = [(g, random.getrandbits(64) - (1 << 63)) for g in ("a", "b", None) for _ in range(300)]
+    rows = [r for r in rows for _ in range(copies)] + [("few", 5), ("few", -5), ("one", 7)]
+    rows += [("hot", 1)] * 900 + [("hot", 2)] * 3
+    df = spark.createDataFrame(rows, "g string, h long")
+    for most in (10, 100, 100_000):
+        limits = smallest_hashes(df, "g", "h", most)
+        assert set(limits) == {"a", "b", None, "few", "one", "hot"}
+        for g, limit in limits.items():
+            own = sorted(h for x, h in rows if x == g)
+            below = [h for h in own if limit is None or h < limit]
+            assert len(set(below)) == len(below) // copies if g in ("a", "b", None) else below
+            assert len(below) <= most or len(set(below)) == 1
+            assert below == own or len(below) >= most / 2 or len(own) - len(below) < most
+
+
+def test_findings_are_sampled_without_a_window(docs, capsys):
+    found = secrets.candidates(docs(leaky()), "doc_id", "text", "source")
+    all_of_them = secrets.fit_forest(found)
+    few = secrets.fit_forest(found, per_label=20)
+    assert all_of_them.trees and few.trees
+    twice = secrets.fit_forest(found.unionByName(found))
+    assert twice.trees == all_of_them.trees  # a repeated row is learnt from once
+
+
+def test_the_forest_overrules_a_telling_name(docs):
+    """What the rules take for a secret, but looks like all the words that are none."""
+    random.seed(3)
+    hexes = ["".join(random.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    words = ["internationalization", "undversion-ingment", "lichheitkeitungschein", "ableness/oughtightour"]
+    rows = [(k, f'the key is token = "{h}" here') for k, h in enumerate(hexes)]
+    rows += [(1000 + k, f"see docs build {words[k % 4]} {k} now") for k in range(300)]
+    rows += [(2000 + k, f"the image version{k % 9}tion{k % 7}ment here") for k in range(300)]
+    rows += [(5000, "see docs token = version9tion9ment and more"), (5001, f"bare {hexes[0][::-1]} here")]
+    found = {r["doc_id"]: r for r in secrets.find_secrets(docs(rows)).where("doc_id < 300 or doc_id >= 5000").collect()}
+    assert all(found[k]["is_secret"] for k in range(300))
+    label = secrets.candidates(docs(rows).where("doc_id = 5000"), "doc_id", "text", "source").first()["label"]
+    assert label == 1.0 and not found[5000]["is_secret"]
+
+
+def test_pipeline_language_keeps_short_texts_and_all_columns(spark):
+    import corpus_pipeline
+
+    rows = [(k, "the cat and the hat of that man on the mat", "en", 7.0, "d") for k in range(40)]
+    rows += [(50, "Psychology", None, 7.0, "d"), (51, "OK", "en", None, "d"), (52, None, "en", 7.0, "d")]
+    rows += [(53, "12 34", "en", 7.0, "d"), (54, "мир", "en", 7.0, "d")]
+    rows += [(55, "привет мир как дела это русский текст и не похож ни на что", None, 7.0, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, `a.b` string")
+    kept = corpus_pipeline.language(spark, df, "")
+    assert kept.columns == df.columns
+    got = {r["doc_id"]: r["score"] for r in kept.collect()}
+    assert set(got) == {*range(40), 50, 51, 54} and got[50] == 7.0 and got[51] is None
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    from conftest import SMALL
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "s", "x", 1, 60), (1, text, "s", "x", 1, 60), (2, text + " more", "s", "y", 2, 60)]
+    rows += [(3, 'token = "0123456789abcdef0123456789abcdef01234567"', "s", "z", 3, None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string, source string, `a.b` string, `odd ``name` int, n_chars long"
+    )
+    for step in (corpus_pipeline.near_duplicates, corpus_pipeline.benchmarks, corpus_pipeline.secrets):
+        out = step(spark, df, SMALL)
+        assert out.columns == df.columns and out.count() in (3, 5)
+
+
+def test_texts_under_one_id_are_documents_of_their_own(docs):
+    same = "a b c d e f g h i j k l m n o p"
+    rows = [(7, same), (7, "x1 x2 x3 x4 x5 x6 x7 x8"), (7, None), (7, None), (9, same), (9, "y1 y2 y3 y4 y5 y6")]
+    rows += [(None, same), (None, same), (8, "x1 x2 x3 x4 x5 x6 x7 x8"), (8, " ")]
+    got = sorted(((r["doc_id"], r["text"]) for r in one_of_each(docs(rows)).collect()), key=repr)
+    want = [(7, same), (7, "x1 x2 x3 x4 x5 x6 x7 x8"), (7, None), (7, None), (9, "y1 y2 y3 y4 y5 y6")]
+    assert got == sorted([*want, (None, same), (None, same), (8, " ")], key=repr)

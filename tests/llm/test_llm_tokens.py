@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from llm_fixtures import docs, strange  # noqa: F401
 from reelmill.llm.packing import Packer, pack
 from reelmill.llm.token_files import read_token_files, write_token_files
-from reelmill.llm.tokens import Encoder, encoder
+from reelmill.llm.tokens import COMMON, PIECE, Encoder, distinct_pieces, encoder, piece_starts
 from reelmill.llm.unigram import LONG, MARK, Unigram, token_counts, zipf_pieces
 from reelmill.session import scratch_path
 
@@ -47,6 +47,33 @@ def test_encoder_forgets_when_its_memory_is_full(monkeypatch):
     assert got == [ids_of(t, 7).tolist() for t in texts]
 
 
+def test_the_end_id_outlives_any_number_of_pieces():
+    """One long text of many pieces uses the end once, and the memory is then full."""
+    for remembered, many in ((4, 40), (None, 380_000)):
+        some = Encoder(BPE, 1) if remembered is None else Encoder(BPE, 1, remembered)
+        long = " ".join(f"{k} {k}" for k in range(many))
+        for text in (long, "hello world", long[: len(long) // 2], "hello world", None):
+            (got,) = some.encode([text])
+            assert got[-1] == 1
+            if len(text or "") < 1000:
+                assert got.tolist() == ids_of(text, 1).tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'stmdrevel  \n\t.,_-19é²µº'"), max_size=16), min_size=1))
+def test_pieces_are_cut_as_the_pattern_says(texts):
+    texts = [t for t in texts if COMMON.fullmatch(t)]
+    whole = "".join(t + "\0" for t in texts)
+    chars = np.frombuffer(whole.encode("utf-16-le"), "<u2")
+    starts = piece_starts(chars) if texts else np.zeros(0, int)
+    edges = [*starts.tolist(), len(whole)]
+    got = [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    assert got == [p for t in texts for p in [*PIECE.findall(t), "\0"]]
+    if texts:
+        codes, first = distinct_pieces(chars, starts)
+        assert [got[f] for f in first[codes]] == got and len(first) == len(set(got))
+
+
 def test_token_files_round_trip(spark, docs, strange):
     path = scratch_path(spark, "tokens")
     write_token_files(docs(strange).repartition(3), path, BPE, end_id=0)
