@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .joins import relationships
@@ -17,6 +18,41 @@ class QualityError(RuntimeError):
     pass
 
 
+class Watch:
+    """Counts the rows of a table, and NULLs in required columns, while it is written.
+
+    The counts come with the job that writes: no scan is started for them.  Watch what
+    is written last, right before the write, so that a task that is run again after an
+    executor was lost counts once.
+    """
+
+    def __init__(self, what: str, required: Sequence[str] = (), least_rows: int = 0):
+        self.what, self.required, self.least_rows = what, list(required), least_rows
+        self._seen = Observation(f"{what}-{uuid.uuid4().hex}")
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """``df``, watched; use what is returned in one action."""
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{k}") for k, c in enumerate(self.required)]
+        return df.observe(self._seen, F.count("*").alias("rows"), *nulls)
+
+    @property
+    def rows(self) -> int:
+        """Rows written.  Waits for the write; ask after it has succeeded."""
+        # A plan that Spark knows to be empty is not run, and nothing is seen of it.
+        return self._seen.get.get("rows", 0)
+
+    def failed(self) -> list[str]:
+        """Names of the checks that what was written breaks."""
+        seen = self._seen.get
+        broken = [c for k, c in enumerate(self.required) if seen.get(f"null_{k}", 0) > 0]
+        return [f"{self.what}.not_null({','.join(broken)})"] * bool(broken) + [
+            f"{self.what} is empty" if not self.rows else f"{self.what} has {self.rows} rows only"
+        ] * (self.rows < self.least_rows)
+
+    def enforce(self) -> None:
+        enforce({}, self)
+
+
 def not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with a NULL in any of ``columns``, and which ones those are."""
     if not columns:
@@ -38,16 +74,27 @@ def unique(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
 
 
 def reconcile(
-    source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]
+    source: Mapping[str, DataFrame | int],
+    target: Mapping[str, DataFrame | int],
+    spark: SparkSession | None = None,
 ) -> DataFrame:
-    """Row counts per table on both sides, where they differ or a side is missing."""
+    """Row counts per table on both sides, where they differ or a side is missing.
+
+    A side may be a count that was taken while the table was written; then it is not
+    scanned.  If all are counts, ``spark`` makes the result.
+    """
+    frames = [t for t in (*source.values(), *target.values()) if isinstance(t, DataFrame)]
+    session = frames[0].sparkSession if frames else spark
 
-    def counts(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
+    def counts(tables: Mapping[str, DataFrame | int], name: str) -> DataFrame:
+        known = [(t, n) for t, n in tables.items() if not isinstance(n, DataFrame)]
         return union_all(
+            session.createDataFrame(known, f"table_name string, {name} long"),
             *[
                 df.agg(F.count("*").alias(name)).select(F.lit(t).alias("table_name"), name)
                 for t, df in tables.items()
-            ]
+                if isinstance(df, DataFrame)
+            ],
         )
 
     diff = F.coalesce("source_rows", F.lit(0)) - F.coalesce("target_rows", F.lit(0))
@@ -104,8 +151,14 @@ def require_rows(df: DataFrame, what: str = "extract") -> DataFrame:
     return df
 
 
-def enforce(checks: Mapping[str, DataFrame]) -> None:
-    """Raise if any check has a violation, naming all that do."""
-    failed = [name for name, violations in checks.items() if not violations.isEmpty()]
+def enforce(checks: Mapping[str, DataFrame], *watches: Watch) -> None:
+    """Raise if any check has a violation, naming all that do.
+
+    One job looks for a violation of every check; watches need none.
+    """
+    failed = [name for w in watches for name in w.failed()]
+    if checks:
+        found = [v.limit(1).select(F.lit(name).alias("name")) for name, v in checks.items()]
+        failed += [r["name"] for r in union_all(*found).collect()]
     if failed:
         raise QualityError("failed: " + ", ".join(sorted(failed)))

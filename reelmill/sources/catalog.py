@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.quality import Watch
+
 
 def _quoted(*parts: str) -> str:
     return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
@@ -44,7 +47,7 @@ def register_external(
     return spark.table(_quoted(db, name))
 
 
-VERSIONS = "published.versions"
+VERSIONS, ROWS = "published.versions", "published.rows"
 
 
 def _folder(spark: SparkSession, location: str):
@@ -53,59 +56,98 @@ def _folder(spark: SparkSession, location: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _property(spark: SparkSession, db: str, name: str, key: str) -> str | None:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(db, name)}").collect()
+    return {r["key"]: r["value"] for r in rows}.get(key)
+
+
+def published_rows(spark: SparkSession, db: str, name: str) -> int | None:
+    """Rows a table had when it was published, counted as they were written."""
+    found = _property(spark, db, name, ROWS)
+    return None if found is None else int(found)
+
+
 def published_versions(spark: SparkSession, db: str, name: str) -> list[str]:
     """Folder names of the versions a table was published in, oldest first."""
-    rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(db, name)}").collect()
-    listed = {r["key"]: r["value"] for r in rows}.get(VERSIONS, "")
+    listed = _property(spark, db, name, VERSIONS) or ""
     return [v for v in listed.split(",") if v]
 
 
-def materialize(
+@dataclass(frozen=True)
+class Version:
+    """Rows of a table in a folder of their own, complete but not yet published."""
+
+    spark: SparkSession
+    db: str
+    name: str
+    fmt: str
+    schema: StructType
+    location: str
+    rows: int
+
+    def load(self) -> DataFrame:
+        return self.spark.read.format(self.fmt).schema(self.schema).load(self.location)
+
+    def discard(self) -> None:
+        path, fs = _folder(self.spark, self.location)
+        fs.delete(path, True)
+
+
+def write_version(
     df: DataFrame,
     db: str,
     name: str,
     *,
     root: str,
     fmt: str = "parquet",
+    required: Sequence[str] = (),
+    least_rows: int = 0,
     check: Callable[[DataFrame], None] | None = None,
-) -> DataFrame:
-    """Create or replace a table from a query.
+) -> Version:
+    """Write the rows of a table to a fresh folder, checked; readers do not see it yet.
+
+    NULLs in ``required`` columns and rows are counted as they are written, ``check``
+    gets the written rows.  If anything fails no folder stays behind.
+    """
+    watch = Watch(name, required, least_rows)
+    watched = watch.on(df)
+    version = Version(df.sparkSession, db, name, fmt, df.schema, f"{root}/{db}/{name}/v-{uuid.uuid4().hex}", 0)
+    try:
+        watched.write.format(fmt).mode("errorifexists").save(version.location)
+        watch.enforce()
+        if check is not None:
+            check(version.load())
+    except Exception:
+        version.discard()
+        raise
+    return replace(version, rows=watch.rows)
 
-    The rows go to a fresh folder first and the catalog is pointed there once they
-    are complete and ``check`` raised nothing, so a failed run leaves the old table
-    as it was and no folder behind, and a query may read the table it replaces.  Old
-    folders stay until :func:`drop_old_versions`.
+
+def publish(version: Version) -> DataFrame:
+    """Make a written version the table that readers find.
 
     With the same columns the new location is one change of the catalog.  With other
     columns the new table is made under a name of its own first, then the old one is
     dropped and the new one renamed; should a run break off between these two steps, the
     complete new table is there under ``<name>__next``.
     """
-    spark = df.sparkSession
+    spark, db, name, location = version.spark, version.db, version.name, version.location
     table = _quoted(db, name)
-    version = f"v-{uuid.uuid4().hex}"
-    location = f"{root}/{db}/{name}/{version}"
-    try:
-        df.write.format(fmt).mode("errorifexists").save(location)
-        if check is not None:
-            check(spark.read.format(fmt).schema(df.schema).load(location))
-    except Exception:
-        path, fs = _folder(spark, location)
-        fs.delete(path, True)
-        raise
     exists = spark.catalog.tableExists(table)
-    versions = ",".join([*(published_versions(spark, db, name) if exists else []), version])
-    if exists and spark.table(table).schema.simpleString() == df.schema.simpleString():
+    folder = location.rsplit("/", 1)[1]
+    versions = ",".join([*(published_versions(spark, db, name) if exists else []), folder])
+    noted = f"{_literal(VERSIONS)} = {_literal(versions)}, {_literal(ROWS)} = '{version.rows}'"
+    if exists and spark.table(table).schema.simpleString() == version.schema.simpleString():
         spark.sql(f"ALTER TABLE {table} SET LOCATION {_literal(location)}")
-        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({_literal(VERSIONS)} = {_literal(versions)})")
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({noted})")
         spark.catalog.refreshTable(table)
         return spark.table(table)
     made = _quoted(db, f"{name}__next") if exists else table
     spark.sql(f"DROP TABLE IF EXISTS {_quoted(db, name + '__next')}")
-    columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
+    columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in version.schema)
     spark.sql(
-        f"CREATE TABLE {made} ({columns}) USING {fmt} LOCATION {_literal(location)}"
-        f" TBLPROPERTIES ({_literal(VERSIONS)} = {_literal(versions)})"
+        f"CREATE TABLE {made} ({columns}) USING {version.fmt} LOCATION {_literal(location)}"
+        f" TBLPROPERTIES ({noted})"
     )
     if exists:
         spark.sql(f"DROP TABLE {table}")
@@ -113,6 +155,15 @@ def materialize(
     return spark.table(table)
 
 
+def materialize(df: DataFrame, db: str, name: str, *, root: str, **checks) -> DataFrame:
+    """Create or replace a table from a query: :func:`write_version`, then :func:`publish`.
+
+    A failed run or check leaves the old table as it was, and a query may read the
+    table it replaces.  Old folders stay until :func:`drop_old_versions`.
+    """
+    return publish(write_version(df, db, name, root=root, **checks))
+
+
 def table_location(spark: SparkSession, db: str, name: str) -> str:
     detail = spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(db, name)}")
     return detail.where(F.col("col_name") == "Location").first()["data_type"]

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from reelmill.operators.quality import QualityError, not_null
 from reelmill.plans import gold, serving, silver, staging
-from reelmill.plans.build import run_build
+from reelmill.plans.build import REQUIRED, run_build
 from reelmill.schemas import BRONZE
 from reelmill.session import scratch_path
-from reelmill.sources import files
+from reelmill.sources import catalog, files
 
 DAY = 86400
 
@@ -153,6 +153,71 @@ def test_broken_data_stops_the_build(spark, rows):
     assert rows(spark.table("b2_gold.gold_movie_analytics")) == before
 
 
+def executions(spark, action):
+    """Plans of what Spark ran during ``action``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    action()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    listed = store.executionsList(before, 10_000)
+    return [listed.apply(k).physicalPlanDescription() for k in range(listed.size())]
+
+
+def test_build_starts_no_scan_for_nulls_or_rows(spark):
+    root = scratch_path(spark, "build")
+    seed(spark, f"{root}/bronze_files")
+    plans = executions(
+        spark,
+        lambda: run_build(
+            spark, f"{root}/bronze_files", root, bronze_db="b5_bronze",
+            layers={"silver": "b5_silver", "gold": "b5_gold"},
+        ),
+    )
+    written = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p]
+    assert len(written) == 10 and all("CollectMetrics" in p for p in written)
+    scans = [p for p in plans if "Scan parquet" in p and p not in written]
+    # One look for repeated keys per table that has keys: six of the ten.
+    keyed = [m for m in REQUIRED if REQUIRED[m][1] and not m.startswith("stg_")]
+    assert 0 < len(scans) <= len(keyed) and all("copies" in p for p in scans)
+    assert not any("isnull(" in p.lower() for p in scans)
+
+
+@pytest.mark.parametrize("name", ["ratings", "links"])
+def test_a_null_in_staging_stops_the_build_before_anything_is_published(spark, rows, name, monkeypatch):
+    root = scratch_path(spark, "build")
+    seed(spark, f"{root}/bronze_files")
+    dbs = {"silver": f"b6_{name}_silver", "gold": f"b6_{name}_gold"}
+    build = lambda: run_build(
+        spark, f"{root}/bronze_files", root, bronze_db=f"b6_{name}_bronze", layers=dbs
+    )
+    build()
+    tables = {n: catalog.table_location(spark, dbs["silver"], f"silver_{n}") for n in ("movies", name)}
+    strict = getattr(staging, f"stg_{name}")
+    nulled = lambda raw: strict(raw).withColumn("movie_id", F.expr("nullif(movie_id, 3)"))
+    monkeypatch.setattr(staging, f"stg_{name}", nulled)
+    with pytest.raises(QualityError, match=rf"stg_{name}.not_null\(movie_id\)|silver_{name}.not_null\(movie_id\)"):
+        build()
+    for n, location in tables.items():
+        assert catalog.table_location(spark, dbs["silver"], f"silver_{n}") == location
+
+
+def test_build_from_ingested_tables(spark, rows):
+    root = scratch_path(spark, "build")
+    catalog.ensure_database(spark, "b7_bronze", f"{root}/b7_bronze")
+    paths = seed(spark, f"{root}/bronze_files")
+    landed = {n: spark.read.schema(BRONZE[n]).parquet(p) for n, p in paths.items()}
+    files.ingest_tables(spark, landed, "b7_bronze", root)
+    by_table = run_build(
+        spark, None, root, bronze_db="b7_bronze", layers={"silver": "b7_silver", "gold": "b7_gold"},
+        run_ts=datetime(2026, 1, 1),
+    )
+    by_path = run_build(
+        spark, f"{root}/bronze_files", root, bronze_db="b8_bronze",
+        layers={"silver": "b8_silver", "gold": "b8_gold"}, run_ts=datetime(2026, 1, 1),
+    )
+    assert {n: rows(df) for n, df in by_table.items()} == {n: rows(df) for n, df in by_path.items()}
+
+
 def test_point_lookup_reaches_the_scan(spark, layers):
     path = scratch_path(spark, "lookup")
     layers["movies"].write.parquet(path)

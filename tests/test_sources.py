@@ -6,7 +6,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from reelmill.operators.quality import QualityError
+from reelmill.operators.quality import QualityError, Watch, reconcile
 from reelmill.schemas import BRONZE, SOURCE
 from reelmill.session import scratch_path
 from reelmill.sources import catalog, files, jdbc, merge, records
@@ -200,6 +200,68 @@ def test_json_arrays_are_bounded(spark, rows):
     assert rows(got) == rows(df)
 
 
+def test_json_arrays_of_equal_rows_are_bounded(spark):
+    root = scratch_path(spark, "arrays")
+    df = spark.range(64).selectExpr("'same' AS x", "'2024-01-01' AS ds")
+    files.land_json_arrays(df, root, "q", per_file=8)
+    sizes = [len(json.loads(p.read_text())) for p in local(root).glob("*.json")]
+    assert sum(sizes) == 64 and len(sizes) > 4 and max(sizes) < 24
+
+
+def test_json_arrays_refuse_rows_without_a_date(spark):
+    root = scratch_path(spark, "arrays")
+    df = spark.createDataFrame([(1, "2024-01-01"), (2, None)], "id int, ds string")
+    with pytest.raises(QualityError, match="q has rows without a date"):
+        files.land_json_arrays(df, root, "q", per_file=8)
+    assert not local(root).exists()
+    files.land_json_arrays(df.limit(0), root, "q", per_file=8)
+    assert not list(local(root).glob("*.json"))
+
+
+def test_rows_and_nulls_are_counted_while_written(spark):
+    path = scratch_path(spark, "watched")
+    df = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a int, b string")
+    watch = Watch("t", ["a", "b"], least_rows=4)
+    watch.on(df.repartition(2)).write.parquet(path)
+    assert watch.rows == 3
+    assert watch.failed() == ["t.not_null(a,b)", "t has 3 rows only"]
+    with pytest.raises(QualityError, match=r"failed: t has 3 rows only, t.not_null\(a,b\)"):
+        watch.enforce()
+    for empty in (df.where("a > 5"), df.limit(0)):
+        none = Watch("t", ["a"], least_rows=1)
+        none.on(empty).write.parquet(scratch_path(spark, "watched"))
+        assert none.rows == 0 and none.failed() == ["t is empty"]
+
+
+def test_tables_are_ingested_together_and_published_by_location(spark, rows):
+    root = scratch_path(spark, "ingest")
+    catalog.ensure_database(spark, "ing", f"{root}/ing")
+    good = spark.createDataFrame(LINKS, SOURCE["links"])
+    movies = spark.createDataFrame([(1, "A", "Drama")], BRONZE["movies"])
+    needs = {"movies": ["movieid"], "links": ["movieid"]}
+    load = lambda **t: files.ingest_tables(spark, t, "ing", root, required=needs)
+    assert load(links=good, movies=movies) == {"links": 2, "movies": 1}
+    before = catalog.table_location(spark, "ing", "links")
+    reader = spark.table("ing.links")
+
+    broken = spark.createDataFrame([(None, "B", "Drama")], BRONZE["movies"])
+    with pytest.raises(QualityError, match=r"movies.not_null\(movieid\)"):
+        load(links=good.limit(1), movies=broken)
+    assert catalog.table_location(spark, "ing", "links") == before
+    assert len(list(local(f"{root}/ing/links").iterdir())) == 1  # no folder stays behind
+    assert spark.table("ing.movies").collect() == movies.collect()
+
+    # A source may read what it replaces, and readers of the last version go on.
+    load(links=spark.table("ing.links").where("movieid = 1"))
+    assert catalog.table_location(spark, "ing", "links") != before
+    assert rows(reader) == [(1, "500001", "71"), (2, "500002", None)]
+    assert spark.table("ing.links").count() == 1
+    assert catalog.published_rows(spark, "ing", "links") == 1
+    diff = reconcile({"links": 2, "movies": movies}, {"links": 1, "movies": 1}, spark)
+    assert rows(diff) == [("links", 2, 1, 1)]
+    assert rows(reconcile({"a": 1, "b": 2}, {"a": 1}, spark)) == [("b", 2, None, 2)]
+
+
 def test_registry(spark, rows):
     root = scratch_path(spark, "reg")
     files.ingest_full_refresh({"links": spark.createDataFrame(LINKS, SOURCE["links"])}, f"{root}/ds")
