@@ -105,10 +105,10 @@ def _ceil_to(us: Column, width: int) -> Column:
     return us + F.pmod(-us, F.lit(width))
 
 
-def _carried(states: DataFrame, width: int, reach: Column) -> DataFrame:
+def _carried(states: DataFrame, keys: Sequence[str], width: int, reach: Column) -> DataFrame:
     """Repeat each state at the following multiples of ``width`` (column ``at``), as
     far as it reaches or until the series has its next state (column ``own``)."""
-    following = F.lead("own").over(Window.partitionBy(*SERIES).orderBy("own")) - width
+    following = F.lead("own").over(Window.partitionBy(*keys).orderBy("own")) - width
     return states.withColumn("until", F.least(following, reach)).withColumn(
         "at", F.explode(F.sequence("own", "until", F.lit(width)))
     )
@@ -119,21 +119,23 @@ def instant_vector(samples: DataFrame, step: int, lookback: int) -> DataFrame:
 
     A series has one sample per instant; output is (metric, labels, t, value).
     """
+    return instant_states(_keyed(samples), SERIES, step, lookback).select(
+        "metric", F.map_from_entries("series").alias("labels"), "t", "value"
+    )
+
+
+def instant_states(points: DataFrame, keys: Sequence[str], step: int, lookback: int) -> DataFrame:
+    """The instant vector of points (``keys`` of a series, us, value): keys, t, value."""
     step_us, back_us = step * MICROS, lookback * MICROS
     us = F.col("us")
     # The latest sample between two evaluation times, by partial aggregation; of the
     # times from there on it is seen at those before the next such sample.
-    newest = (
-        _keyed(samples)
-        .groupBy(_ceil_to(us, step_us).alias("own"), *SERIES)
-        .agg(F.max_by("value", "us").alias("value"), F.max("us").alias("us"))
+    newest = points.groupBy(_ceil_to(us, step_us).alias("own"), *keys).agg(
+        F.max_by("value", "us").alias("value"), F.max("us").alias("us")
     )
     last_seen = _floor_to(us + back_us - 1, step_us)
-    return _carried(newest.where(last_seen >= F.col("own")), step_us, last_seen).select(
-        "metric",
-        F.map_from_entries("series").alias("labels"),
-        F.timestamp_micros("at").alias("t"),
-        "value",
+    return _carried(newest.where(last_seen >= F.col("own")), keys, step_us, last_seen).select(
+        *keys, F.timestamp_micros("at").alias("t"), "value"
     )
 
 
@@ -280,19 +282,33 @@ def rate(
     bucket states are folded into strides, the longest stretches that all ranges
     consist of, and a range is a sliding window over the strides of its series.
     """
+    return rate_states(
+        _keyed(samples), SERIES, range_s, step, extrapolate=extrapolate, resolution=resolution
+    ).select("metric", F.map_from_entries("series").alias("labels"), "t", "value")
+
+
+def rate_states(
+    points: DataFrame,
+    keys: Sequence[str],
+    range_s: int,
+    step: int,
+    *,
+    extrapolate: bool = True,
+    resolution: int = 60,
+) -> DataFrame:
+    """The rate of points (``keys`` of a series, us, value): keys, t, value."""
     stride = math.gcd(range_s, step) * MICROS
     width = bucket_width(range_s, step, resolution) * MICROS
     step_us, range_us = step * MICROS, range_s * MICROS
     us = F.col("us")
 
-    per_bucket = Window.partitionBy("bucket", *SERIES).orderBy("us")
+    per_bucket = Window.partitionBy("bucket", *keys).orderBy("us")
     before = F.lag("value").over(per_bucket)
     # A bucket is named by its upper end: it holds the samples in (bucket - width, bucket].
     states = (
-        _keyed(samples)
-        .withColumn("bucket", _ceil_to(us, width))
+        points.withColumn("bucket", _ceil_to(us, width))
         .withColumn("dropped", F.when(F.col("value") < before, before).otherwise(0.0))
-        .groupBy("bucket", *SERIES)
+        .groupBy("bucket", *keys)
         .agg(
             F.min("us").alias("first_us"),
             F.max("us").alias("last_us"),
@@ -307,20 +323,20 @@ def rate(
         # At most stride / width states each.
         folded = fold_states(F.sort_array(F.collect_list(F.struct(*STATE))))
         states = (
-            states.groupBy(_ceil_to(F.col("own"), stride).alias("own"), *SERIES)
+            states.groupBy(_ceil_to(F.col("own"), stride).alias("own"), *keys)
             .agg(folded.alias("state"))
-            .select(*SERIES, "own", "state.*")
+            .select(*keys, "own", "state.*")
         )
-    per_series = Window.partitionBy(*SERIES).orderBy("own")
+    per_series = Window.partitionBy(*keys).orderBy("own")
     ended = F.lag("last_v").over(per_series)
     states = states.withColumn("drop", F.when(F.col("first_v") < ended, ended).otherwise(0.0))
     # A range also ends where nothing was sampled, up to a range after the last state.
-    strides = _carried(states, stride, F.col("own") - stride + range_us)
+    strides = _carried(states, keys, stride, F.col("own") - stride + range_us)
     is_own = F.col("at") == F.col("own")
     strides = strides.select(
-        *SERIES, "at", *[F.when(is_own, F.col(c)).alias(c) for c in [*STATE, "drop"]]
+        *keys, "at", *[F.when(is_own, F.col(c)).alias(c) for c in [*STATE, "drop"]]
     )
-    ranges = Window.partitionBy(*SERIES).orderBy("at").rangeBetween(stride - range_us, 0)
+    ranges = Window.partitionBy(*keys).orderBy("at").rangeBetween(stride - range_us, 0)
     # The drop before the first stride of a range lies outside of it.
     dropped = F.sum(F.col("resets") + F.col("drop")).over(ranges)
     dropped_before = F.first("drop", ignorenulls=True).over(ranges)
@@ -334,7 +350,7 @@ def rate(
     at = F.col("at")
     return (
         strides.select(
-            *SERIES,
+            *keys,
             "at",
             F.struct(
                 *[agg.over(ranges).alias(name) for name, agg in parts.items()],
@@ -343,8 +359,7 @@ def rate(
         )
         .where((F.pmod(at, F.lit(step_us)) == 0) & (F.col("state.n") >= 2))
         .select(
-            "metric",
-            F.map_from_entries("series").alias("labels"),
+            *keys,
             F.timestamp_micros("at").alias("t"),
             rate_of(F.col("state"), at - range_us, at, extrapolate).alias("value"),
         )

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import float_divide
 from ..operators.metrics import (
     greatest,
-    instant_vector,
     label,
     label_values,
     legend,
@@ -24,6 +23,7 @@ from ..operators.metrics import (
     vec_max,
     vec_sum,
 )
+from ..operators.series import Series, Vector, split_series
 from ..operators.sets import union_all
 from ..session import stage
 
@@ -155,12 +155,13 @@ def _conditions(panel: Panel, metric: str, dag_ids: list[str] | None) -> Column:
 
 
 def _grouped_panels(
-    vector: DataFrame, panels: list[Panel], dag_ids: list[str] | None
+    vector: Vector, panels: list[Panel], dag_ids: list[str] | None
 ) -> DataFrame:
     """All sum, max and ratio panels from one scan and one shuffle of the vector.
 
-    Each value is handed to the panels it belongs to; a ratio has its numerator in
-    slot 0 and its denominator in slot 1 of the same group.
+    Which panels a series belongs to, and under which key, is settled once per series;
+    a ratio has its numerator in slot 0 and its denominator in slot 1 of the same group.
+    Values are grouped by time and number of the group.
     """
     entries = [
         F.when(
@@ -175,16 +176,26 @@ def _grouped_panels(
         for slot, metric in enumerate(p.metrics)
     ]
     used = sorted({m for p in panels for m in p.metrics})
-    in_slot = [F.when(F.col("entry.slot") == i, F.col("value")) for i in (0, 1)]
+    placed = (
+        vector.dictionary.where(F.col("metric").isin(used))
+        .select("id", F.explode(F.array_compact(F.array(*entries))).alias("entry"))
+        .select("id", "entry.*")
+    )
+    # A group's number: that of its panel, and the smallest series in it.
+    numbers = F.create_map(*[F.lit(x) for k, p in enumerate(panels) for x in (p.name, k)])
+    names = placed.groupBy("panel", "key").agg(F.min("id").alias("group"))
+    names = names.withColumn("of", numbers[F.col("panel")])
+    group_of = placed.join(names, ["panel", "key"]).select("id", "of", "group", "slot")
+    in_slot = [F.when(F.col("slot") == i, F.col("value")) for i in (0, 1)]
     groups = (
-        vector.where(F.col("metric").isin(used))
-        .select("t", "value", F.explode(F.array_compact(F.array(*entries))).alias("entry"))
-        .groupBy("t", F.col("entry.panel").alias("panel"), F.col("entry.key").alias("key"))
+        vector.rows.join(group_of, "id")
+        .groupBy("t", "of", "group")
         .agg(
             F.sum(in_slot[0]).alias("total"),
             greatest(in_slot[0]).alias("greatest"),
             F.sum(in_slot[1]).alias("divisor"),
         )
+        .join(names, ["of", "group"])
     )
     shape = {kind: [p.name for p in panels if p.shape == kind] for kind in GROUPED}
     is_ratio = F.col("panel").isin(shape["ratio"])
@@ -205,8 +216,8 @@ def _grouped_panels(
 
 
 def run_dashboard(
-    samples: DataFrame,
-    vector: DataFrame | None = None,
+    samples: DataFrame | Series,
+    vector: Vector | None = None,
     *,
     step: int = 30,
     lookback: int = 300,
@@ -218,22 +229,29 @@ def run_dashboard(
 ) -> DataFrame:
     """All panels, over the whole samples or from ``start`` to ``end``.
 
-    The panels share one instant vector: ``vector`` if given, else it is worked out
-    and stored first.
+    Samples with labels are split into a dictionary of series and points first.  The
+    panels share one instant vector: ``vector`` if given, else it is worked out and
+    stored first.
     """
     used = sorted({m for p in panels for m in p.metrics})
-    samples = samples.where(F.col("metric").isin(used))
+    if isinstance(samples, DataFrame):
+        samples = split_series(samples.where(F.col("metric").isin(used)), stage, "dashboard")
+    else:
+        samples = Series(samples.dictionary.where(F.col("metric").isin(used)), samples.rows)
+    points = samples.rows
     if start is not None:
         reach = timedelta(seconds=max(lookback, rate_range))
-        samples = samples.where(F.col("ts") > F.lit(start - reach))
+        points = points.where(F.col("ts") > F.lit(start - reach))
     if end is not None:
-        samples = samples.where(F.col("ts") <= F.lit(end))
+        points = points.where(F.col("ts") <= F.lit(end))
+    samples = Series(samples.dictionary, points)
     if vector is None:
-        vector = stage(instant_vector(samples, step, lookback), "vector")
+        instant = samples.instant(step, lookback)
+        vector = Vector(instant.dictionary, stage(instant.rows, "vector"))
     dag_ids = None if dag_ids is None else list(dag_ids)
     grouped = [p for p in panels if p.shape in GROUPED]
     single = [
-        run_panel(p, samples, vector, step=step, dag_ids=dag_ids, rate_range=rate_range)
+        _single_panel(p, samples, vector, step, dag_ids, rate_range)
         for p in panels
         if p.shape not in GROUPED
     ]
@@ -243,6 +261,24 @@ def run_dashboard(
     return rows if end is None else rows.where(F.col("t") <= F.lit(end))
 
 
+def _single_panel(
+    panel: Panel, samples: Series, vector: Vector, step: int, dag_ids, rate_range: int
+) -> DataFrame:
+    """A panel that is no plain grouping, over the dictionary of series."""
+    given = samples if panel.shape == "rate" else vector
+    own = [
+        type(given)(found, given.rows.join(found.select("id"), "id", "left_semi"))
+        for found in (_matching(given.dictionary, panel, m, dag_ids) for m in panel.metrics)
+    ]
+    if panel.shape == "rate":
+        rows = own[0].rate(rate_range, step).flat()
+    else:
+        rows = vec_max(own[0].ratio_series(own[1]))
+    return legend(rows, panel.legend).select(
+        F.lit(panel.name).alias("panel"), "legend", "t", "value"
+    )
+
+
 def dag_choices(samples: DataFrame) -> DataFrame:
     """Values the dashboard's DAG variable offers."""
     metric, name = VARIABLE

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.metrics import instant_vector
+from ..operators.series import Series, Vector, split_series
 from ..plans import gold, silver, staging
 from ..plans.serving import GOLD_KEYS
 from ..session import configure, stage
@@ -27,6 +27,7 @@ class Lake:
         self.spark = configure(spark)
         self.sf_dir = sf_dir
         self._stored: dict[str, DataFrame] = {}
+        self._series: dict[str, Series] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Lake:
@@ -72,7 +73,7 @@ class Lake:
             elif name == "panel_samples":
                 df = adapters.panel_samples(self.given("events"))
             elif name == "panel_vector":
-                df = instant_vector(self.stored("panel_samples"), STEP, LOOKBACK)
+                df = self.series("panel_samples").instant(STEP, LOOKBACK).rows
             elif name.startswith("bronze_"):
                 df = self.bronze(name.removeprefix("bronze_"))
             elif name in ("movies", "ratings", "tags", "links"):
@@ -82,3 +83,12 @@ class Lake:
                 df = self.gold(name).repartitionByRange(*keys).sortWithinPartitions(*keys)
             self._stored[name] = stage(df, name)
         return self._stored[name]
+
+    def series(self, name: str) -> Series:
+        """Stored samples as a stored dictionary of series and points."""
+        if name not in self._series:
+            self._series[name] = split_series(self.stored(name), stage, name)
+        return self._series[name]
+
+    def panel_vector(self) -> Vector:
+        return Vector(self.series("panel_samples").dictionary, self.stored("panel_vector"))

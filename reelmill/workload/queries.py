@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from ..functions import labels, numeric, temporal, text
 from ..operators import aggregates as agg
 from ..operators import joins, metrics, ordering, quality, sets, similarity
+from ..operators.series import Vector
 from ..plans import gold, panels, serving, silver
 from ..schemas import BRONZE, SAMPLES, SOURCE_KEYS
 from ..session import scratch_path
@@ -284,7 +285,7 @@ def prj_prune(lake: Lake) -> DataFrame:
 
 @query
 def prj_legend(lake: Lake) -> DataFrame:
-    sums = metrics.vec_sum(_vector(lake, "click"), ["dag_id"])
+    sums = _vector(lake, "click").sum(["dag_id"])
     return metrics.legend(sums, "média {{dag_id}}").select("t", "legend", "value")
 
 
@@ -824,10 +825,8 @@ def _flat(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def _vector(lake: Lake, metric: str) -> DataFrame:
-    return metrics.instant_vector(
-        metrics.match_labels(lake.stored("samples"), metric), STEP, LOOKBACK
-    )
+def _vector(lake: Lake, metric: str) -> Vector:
+    return lake.series("samples").matching(metric).instant(STEP, LOOKBACK)
 
 
 @query
@@ -838,11 +837,12 @@ def met_instant(lake: Lake) -> DataFrame:
 
 @query
 def met_label_match(lake: Lake) -> DataFrame:
-    found = metrics.match_labels(
-        lake.stored("samples"), "click", ne={"dag_id": ""}, eq={"task_id": ""},
+    """Conditions are looked at once per series, in the dictionary."""
+    found = lake.series("samples").matching(
+        "click", ne={"dag_id": ""}, eq={"task_id": ""},
         regex={"dag_id": metrics.selection_regex(["dag_0", "dag_3"])},
     )
-    return _flat(found, "metric", "ts", "value")
+    return _flat(found.flat(), "metric", "ts", "value")
 
 
 @query
@@ -857,37 +857,38 @@ def met_range(lake: Lake) -> DataFrame:
 
 @query
 def met_label_values(lake: Lake) -> DataFrame:
-    return metrics.label_values(lake.stored("samples"), "dag_id", "purchase")
+    return lake.series("samples").matching("purchase").label_values("dag_id")
 
 
 @query
 def met_sum(lake: Lake) -> DataFrame:
-    return metrics.vec_sum(_vector(lake, "view"))
+    return _vector(lake, "view").sum()
 
 
 @query
 def met_max(lake: Lake) -> DataFrame:
-    return metrics.vec_max(_vector(lake, "view"))
+    return _vector(lake, "view").max()
 
 
 @query
 def met_sum_by(lake: Lake) -> DataFrame:
-    return metrics.vec_sum(_vector(lake, "purchase"), ["dag_id"])
+    return _vector(lake, "purchase").sum(["dag_id"])
 
 
 @query
 def met_max_by(lake: Lake) -> DataFrame:
-    return metrics.vec_max(_vector(lake, "error"), ["task_id"])
+    return _vector(lake, "error").max(["task_id"])
 
 
 @query
 def met_reduce(lake: Lake) -> DataFrame:
-    return metrics.reduce_series(metrics.vec_sum(_vector(lake, "signup"), ["dag_id"]), ["dag_id"])
+    return metrics.reduce_series(_vector(lake, "signup").sum(["dag_id"]), ["dag_id"])
 
 
 @query
 def met_ratio_by(lake: Lake) -> DataFrame:
-    return metrics.ratio_by(_vector(lake, "click"), _vector(lake, "view"), ["dag_id"])
+    clicks, views = (_vector(lake, m).sum(["dag_id"]) for m in ("click", "view"))
+    return metrics.vector_ratio(clicks, views, ["t", "dag_id"])
 
 
 @query
@@ -896,9 +897,7 @@ def met_ratio_max(lake: Lake) -> DataFrame:
 
     Counters start over at zero, so there are infinities and 0/0 among the ratios.
     """
-    return metrics.vec_max(
-        metrics.ratio_series(_vector(lake, "click"), _vector(lake, "view"))
-    )
+    return metrics.vec_max(_vector(lake, "click").ratio_series(_vector(lake, "view")))
 
 
 @query
@@ -909,14 +908,15 @@ def met_rate(lake: Lake) -> DataFrame:
 
 @query
 def met_rate_extrapolated(lake: Lake) -> DataFrame:
-    rates = metrics.rate(lake.stored("samples"), LOOKBACK, STEP)
+    """The same over the dictionary of series, stretched to the ends of the range."""
+    rates = lake.series("samples").rate(LOOKBACK, STEP).flat()
     return _flat(rates, "metric", "t", "value")
 
 
 @query
 def met_dashboard(lake: Lake) -> DataFrame:
     return panels.run_dashboard(
-        lake.stored("panel_samples"), lake.stored("panel_vector"),
+        lake.series("panel_samples"), lake.panel_vector(),
         step=STEP, rate_range=LOOKBACK, dag_ids=["dag_0", "dag_2", "dag_5"],
     )
 

@@ -7,6 +7,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from reelmill.operators import metrics
+from reelmill.operators.series import split_series
 from reelmill.plans import panels
 from reelmill.schemas import SAMPLES
 from reelmill.session import scratch_path
@@ -186,7 +187,7 @@ def test_dashboard_equals_its_panels(spark, dag_ids):
     samples = frame(spark, panel_points(random.Random(11)))
     vector = metrics.instant_vector(samples, 30, 300).cache()
     together = defaultdict(list)
-    for r in panels.run_dashboard(samples, vector, dag_ids=dag_ids).collect():
+    for r in panels.run_dashboard(samples, dag_ids=dag_ids).collect():
         together[r["panel"]].append((r["legend"], r["t"], r["value"]))
     assert len(panels.PANELS) == len(together) == 24
     for panel in panels.PANELS:
@@ -196,6 +197,52 @@ def test_dashboard_equals_its_panels(spark, dag_ids):
     vector.unpersist()
 
 
+def test_dictionary_of_series_gives_what_labels_give(spark, rows):
+    """Matching, sums, maxima, ratios and rates by id against those by label maps."""
+    rnd = random.Random(21)
+    points = [
+        (rnd.choice("mn"), {"a": rnd.choice(["1", "2", "12", ""]), "b": rnd.choice(["x", "y"])}, t, float(rnd.randrange(9)))
+        for t in range(0, 900, 7)
+    ]
+    points += [("m", {}, 5, 1.0), ("m", {"a": ""}, 500, float("nan"))]
+    samples = frame(spark, points)
+    series = split_series(samples, lambda df, _: df)
+    assert series.dictionary.count() == len({(m, *sorted((k, v) for k, v in ls.items() if v)) for m, ls, *_ in points})
+    assert dict(series.rows.dtypes) == {"id": "bigint", "ts": "timestamp", "value": "double"}
+    flat = lambda df: sorted(
+        (r["metric"], tuple(sorted(r["labels"].items())), *[repr(x) for x in tuple(r)[2:]]) for r in df.collect()
+    )
+    empty_gone = samples.withColumn("labels", F.map_filter("labels", lambda _, v: v != ""))
+    assert flat(series.flat()) == flat(empty_gone)
+    for k in ({"eq": {"a": ""}}, {"ne": {"a": "1"}}, {"regex": {"a": "1|2"}}, {"eq": {"b": "x"}, "regex": {"a": ".*"}}):
+        assert flat(series.matching("m", **k).flat()) == flat(metrics.match_labels(empty_gone, "m", **k))
+    vector, labelled = series.instant(30, 300), metrics.instant_vector(samples, 30, 300)
+    assert flat(vector.flat()) == flat(labelled)
+    text = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    for by in ([], ["a"], ["a", "b"], ["absent"]):
+        assert text(vector.sum(by)) == text(metrics.vec_sum(labelled, by))
+        assert text(vector.max(by)) == text(metrics.vec_max(labelled, by))
+    one, two = vector.matching("m"), vector.matching("n")
+    slow = metrics.ratio_series(*[metrics.match_labels(labelled, m) for m in "mn"])
+    assert text(metrics.vec_max(one.ratio_series(two))) == text(metrics.vec_max(slow))
+    assert flat(series.rate(300, 30).flat()) == flat(metrics.rate(samples, 300, 30))
+    assert rows(series.label_values("a")) == [("1",), ("12",), ("2",)]
+    none = split_series(samples.limit(0), lambda df, _: df)
+    assert none.instant(30, 300).sum(["a"]).collect() == []
+
+
+def test_conditions_are_looked_at_once_per_series(spark):
+    path = scratch_path(spark, "points")
+    samples = frame(spark, [("m", {"a": str(k % 3)}, k, 1.0) for k in range(300)])
+    series = split_series(samples, lambda df, n: (df.write.parquet(f"{path}/{n}"), spark.read.parquet(f"{path}/{n}"))[1])
+    found = series.matching("m", regex={"a": "0|1"}).instant(30, 300)
+    plan = found.sum(["a"])._jdf.queryExecution().optimizedPlan().toString()
+    # No map is in the plan of the points, and no regex over them.
+    points = [x for x in plan.splitlines() if "Relation [id" in x and ",ts#" in x]
+    assert points and all("labels" not in x for x in points)
+    assert plan.count("RLIKE") == 2  # the dictionary, joined for the match and for the groups
+
+
 def test_dashboard_of_a_time_range(spark):
     samples = frame(spark, panel_points(random.Random(12)))
     whole = panels.run_dashboard(samples)
