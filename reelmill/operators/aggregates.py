@@ -91,7 +91,11 @@ def percentile_of_counts(value: ColumnLike, p: float) -> Column:
 def percentiles(
     df: DataFrame, keys: Sequence[str], value: str, **points: float
 ) -> DataFrame:
-    """Exact discrete percentiles per key, without gathering a key's rows."""
+    """Exact discrete percentiles per key, for columns with few distinct values.
+
+    A key's distinct values are ordered in one task: the 46 a rating can have, or the
+    hours of a day.  :func:`.selection.select_percentiles` is for any other column.
+    """
     counts = with_cumulative(value_counts(df, keys, [value]), keys, [value])
     return counts.groupBy(*keys).agg(
         *[percentile_of_counts(value, p).alias(name) for name, p in points.items()]

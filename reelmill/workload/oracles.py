@@ -561,6 +561,10 @@ FROM s_ratings GROUP BY user_id""",
     "agg_percentile": """
 SELECT movie_id, quantile_disc(rating, 0.25) AS p25, quantile_disc(rating, 0.5) AS p50,
   quantile_disc(rating, 0.75) AS p75 FROM s_ratings GROUP BY movie_id""",
+    "agg_percentile_any": """
+SELECT l_returnflag, quantile_disc(l_extendedprice, 0.05) AS p05,
+  quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.99) AS p99
+FROM lineitem GROUP BY l_returnflag""",
     "agg_typical_hour": """
 SELECT user_id, quantile_disc(hour_of_day, 0.5) AS typical_hour FROM s_ratings GROUP BY user_id""",
     "agg_cond_sum": f"SELECT user_id, {band_counts()} FROM s_ratings GROUP BY user_id",

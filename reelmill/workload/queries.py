@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..functions import labels, numeric, temporal, text
 from ..operators import aggregates as agg
-from ..operators import joins, metrics, ordering, quality, sets, similarity
+from ..operators import joins, metrics, ordering, quality, selection, sets, similarity
 from ..operators.series import Vector
 from ..plans import gold, panels, serving, silver
 from ..schemas import BRONZE, SAMPLES, SOURCE_KEYS
@@ -438,6 +438,14 @@ def agg_percentile(lake: Lake) -> DataFrame:
     )
 
 
+@query
+def agg_percentile_any(lake: Lake) -> DataFrame:
+    """Percentiles of prices, nearly all distinct, over keys that hold a third of all rows."""
+    return selection.select_percentiles(
+        lake.given("lineitem"), ["l_returnflag"], "l_extendedprice", p05=0.05, p50=0.5, p99=0.99
+    )
+
+
 @query
 def agg_typical_hour(lake: Lake) -> DataFrame:
     return agg.percentiles(lake.stored("ratings"), ["user_id"], "hour_of_day", typical_hour=0.5)

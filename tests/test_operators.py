@@ -1,3 +1,4 @@
+import math
 import random
 from statistics import median_low
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelmill.functions.labels import SIMILARITY_FLAGS
-from reelmill.operators import aggregates, joins, ordering, quality, sets, similarity
+from reelmill.operators import aggregates, joins, ordering, quality, selection, sets, similarity
 
 
 def test_percentiles_are_exact_and_discrete(spark):
@@ -24,6 +25,52 @@ def test_percentiles_are_exact_and_discrete(spark):
         assert got[k] == (at(25), median_low(vs), at(75))
 
 
+def plain_percentile(values, p):
+    order = sorted(values, key=lambda v: (math.isnan(v), v))
+    return order[max(1, math.ceil(p * len(order))) - 1]
+
+
+@pytest.mark.parametrize("few", [1, 30])
+def test_percentiles_of_any_column_by_counting_ranges(spark, few):
+    rng = random.Random(8)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "hot": [rng.gauss(0, 1) * 10 ** rng.randint(-12, 12) for _ in range(3000)],
+        "same": [4.5] * 500,
+        "ties": [float(rng.randrange(3)) for _ in range(500)],
+        "odd": [inf, -inf, nan, 1e308, -1e308, 5e-324, 0.0, 1.0] * 5,
+        "one": [7.0],
+        None: [rng.random() for _ in range(200)],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    points = {"low": 0.0, "q": 0.1, "h": 0.5, "top": 0.999, "all": 1.0}
+    got = {r["k"]: r for r in selection.select_percentiles(df, ["k"], "v", few=few, **points).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        for name, p in points.items():
+            assert repr(got[k][name]) == repr(plain_percentile(vs, p)), (k, name)
+
+
+def test_percentiles_of_longs_that_no_double_tells_apart(spark):
+    top = 2**63 - 1
+    values = [top - k for k in range(300)] + [-top - 1 + k for k in range(300)] + [0] * 7
+    df = spark.createDataFrame([(1, v) for v in values], "k int, v long").repartition(3)
+    got = selection.select_percentiles(df, ["k"], "v", few=1, a=0.1, b=0.5, c=0.9).first()
+    assert tuple(got) == (1, *[sorted(values)[math.ceil(p * len(values)) - 1] for p in (0.1, 0.5, 0.9)])
+    assert selection.select_percentiles(df.limit(0), ["k"], "v", a=0.1).collect() == []
+
+
+def test_no_key_is_ordered_as_a_whole(spark):
+    """What is put in order has a row per part of a range, however many values there are."""
+    df = spark.range(50_000).selectExpr("1 AS k", "id * 0.37 AS v")
+    ranges = spark.createDataFrame([(1, "p", 0.0, 18499.63, 50_000, 25_000)], "k0 int, point string, low double, high double, n long, rank long")
+    rows = df.select(F.col("k").alias("k0"), "v")
+    narrow = selection._narrowed(rows, ranges, ["k0"], False)
+    (r,) = narrow.collect()
+    assert r["low"] <= 24_999 * 0.37 <= r["high"] and r["n"] <= 50_000 // (selection.BINS - 4)
+
+
 def test_moments_match_the_direct_aggregates(spark):
     rng = random.Random(5)
     df = spark.createDataFrame(
