@@ -13,10 +13,10 @@ file each, named by the licence; with and without what follows the terms.
 Spelling rules and digests are dear, so they are applied only where a match is possible:
 the first words are those of a known licence, in one of their spellings, and the length is
 at most twice the greatest one that begins so, as no rule shortens a text by half.  What
-goes on over lines is followed for a quarter as many lines as that text has characters,
-and 60 more.
+goes on over lines is followed until such a text must be over; lines without a word are
+passed over.
 
-Defined results: null, empty and letters texts match nothing; repeated rows are matched
+Defined results: null, empty and other texts match nothing; repeated rows are matched
 one by one; of several licences with one canonical text the first name counts; an
 empty table gives an empty one; further columns are not read.
 """
@@ -197,6 +197,9 @@ def first_words(canonical: list[str]) -> list[str]:
 
 #: A text's first words, by which known ones are told apart before they are compared.
 FIRST = 3
+#: Characters in which a known text has begun, and how much longer than its canonical form
+#: a text may be, spaces and line ends aside, that has another spelling.
+HEAD, SPREAD = 400, 2
 
 
 def beginning(canonical: Column) -> Column:
@@ -208,7 +211,9 @@ def scan_licenses(
 ) -> DataFrame:
     """Per document: id, license (of the entire text), n_license_lines, line_licenses.
 
-    Lines that are a known text count, and places where one of several lines begins.
+    Lines that are a known text count, and places where one of several lines begins; the
+    lines may be as short, and as far apart, as they like.  Rows that repeat id and text
+    have the same result each.
     """
     known = known_texts() if known is None else known
     rows = docs.sparkSession.createDataFrame(list(known), "license string, text string").select(
@@ -225,68 +230,64 @@ def scan_licenses(
     )
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
-    def known_lengths(s: Column) -> Column:
-        """Lengths of the known texts that begin as this one, or null."""
-        first = F.regexp_extract(s, r"^[ \n]*([^ \n]+)", 1)
-        head = F.left(F.regexp_replace(F.left(s, F.lit(4000)), r"^[ \n]+", ""), F.lit(400))
+    def known_lengths(lines: Column, k: Column) -> Column:
+        """Lengths of the known texts that begin as line k and those after it, or null.
+
+        Every line has a word, so a beginning is over after a few of them; of longer ones
+        than ``HEAD`` characters no known text is made.
+        """
+        first = F.regexp_extract(F.get(lines, k), r"^ *([^ ]+)", 1)
+        head = F.left(F.array_join(F.slice(lines, k + 1, F.lit(2 * FIRST)), "\n"), F.lit(HEAD))
         return F.when(first.isin(starts), by_beginning[beginning(spelled(head))])
 
     def bounded(s: Column, ns: Column) -> Column:
-        return F.length(F.translate(s, " \n", "")) <= 2 * F.array_max(ns)
+        """Whether a text is short enough to be one of the known ones in some spelling."""
+        return F.length(F.translate(s, " \n", "")) <= SPREAD * F.array_max(ns)
 
     def units(text: Column) -> Column:
-        no_lengths = F.array().cast("array<int>")
-
-        def marked(s: Column, entire: bool) -> Column:
-            return F.struct(
-                F.lit(entire).alias("entire"), s.alias("s"), F.lit("").alias("line"),
-                F.lit(-1).alias("place"), no_lengths.alias("ns"),
-            )
+        def unit(entire: bool, s: Column, line: Column, place: Column, several: bool, ns: Column) -> Column:
+            parts = {
+                "entire": F.lit(entire), "s": s, "line": line, "place": place.cast("int"),
+                "several": F.lit(several), "ns": ns,
+            }
+            return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+        def following(lines: Column, x: Column) -> Column:
+            """Line k and all after it that a known text of these lengths could reach.
+
+            That text has at most SPREAD times its length in letters, none of the lines is
+            without one, and inside a line no two spaces meet: no part of it is cut off.
+            """
+            letters = SPREAD * F.array_max(x["ns"])
+            reach = F.slice(lines, x["k"] + 1, letters.cast("int"))
+            return F.left(F.array_join(reach, "\n"), 4 * letters)
 
         def with_lines(lines: Column) -> Column:
             begun = F.filter(
                 F.transform(
                     lines,
-                    # The words of a beginning may go on in the next lines.
-                    lambda s, k: F.struct(
-                        s.alias("s"), k.alias("k"),
-                        F.when(
-                            F.regexp_extract(s, r"^ *([^ ]+)", 1).isin(starts),
-                            known_lengths(F.array_join(F.slice(lines, k + 1, F.lit(FIRST + 1)), "\n")),
-                        ).alias("ns"),
-                    ),
+                    lambda s, k: F.struct(s.alias("s"), k.alias("k"), known_lengths(lines, k).alias("ns")),
                 ),
                 lambda x: x["ns"].isNotNull(),
             )
+            no_line = F.lit("")
 
             def with_begun(begun: Column) -> Column:
+                whole = F.filter(begun, lambda x: (x["k"] == 0) & bounded(text, x["ns"]))
                 alone = F.filter(begun, lambda x: bounded(x["s"], x["ns"]))
                 runs = F.filter(begun, lambda x: x["k"] < F.size(lines) - 1)
                 return F.concat(
-                    F.transform(alone, lambda x: marked(x["s"], False)),
+                    F.transform(whole, lambda x: unit(True, text, no_line, F.lit(-1), False, x["ns"])),
+                    F.transform(alone, lambda x: unit(False, x["s"], no_line, x["k"], False, x["ns"])),
                     F.transform(
-                        runs,
-                        lambda x: F.struct(
-                            F.lit(False).alias("entire"),
-                            F.left(
-                                F.array_join(
-                                    F.slice(lines, x["k"] + 1, (F.array_max(x["ns"]) / 4 + 60).cast("int")), "\n"
-                                ),
-                                3 * F.array_max(x["ns"]) + 400,
-                            ).alias("s"),
-                            x["s"].alias("line"),
-                            x["k"].alias("place"),
-                            x["ns"].alias("ns"),
-                        ),
+                        runs, lambda x: unit(False, following(lines, x), x["s"], x["k"], True, x["ns"])
                     ),
                 )
 
             return let(begun, with_begun)
 
-        whole = F.filter(F.array(text), lambda s: F.coalesce(bounded(s, known_lengths(s)), F.lit(False)))
-        return F.concat(
-            F.transform(whole, lambda s: marked(s, True)), let(F.split(text, "\n", -1), with_lines)
-        )
+        # Lines without a word say nothing, however many there are.
+        return let(F.filter(F.split(text, "\n", -1), lambda s: F.trim(s) != ""), with_lines)
 
     exploded = docs.select(
         F.col(id_col).alias("id"),
@@ -300,24 +301,23 @@ def scan_licenses(
         ends = F.filter(
             F.col("ns"), lambda n: (n > line) & F.substring(c, n + 1, F.lit(1)).isin(["", " "])
         )
-        return F.when(F.col("place") < 0, F.array(c)).otherwise(
+        return F.when(~F.col("several"), F.array(c)).otherwise(
             F.transform(ends, lambda n: F.left(c, n))
         )
 
-    several = F.col("place") >= 0
+    # Rows that repeat id and text share a group: a place counts once in it.
+    place = F.when(~F.col("entire"), F.struct("place", "several"))
     matched = (
         exploded.select(
-            "id", "key", "entire", "place", F.explode(let(spelled(F.col("s")), spans)).alias("span")
+            "id", "key", "entire", "place", "several",
+            F.explode(let(spelled(F.col("s")), spans)).alias("span"),
         )
-        .select("id", "key", "entire", "place", F.sha2("span", 256).alias("digest"))
+        .select("id", "key", "entire", "place", "several", F.sha2("span", 256).alias("digest"))
         .join(F.broadcast(digests), "digest")  # a row per known licence text
         .groupBy("id", "key")
         .agg(
             F.min(F.when(F.col("entire"), F.col("license"))).alias("license"),
-            (
-                F.count_if(~F.col("entire") & ~several)
-                + F.size(F.collect_set(F.when(several, F.col("place"))))
-            ).alias("lines"),
+            F.size(F.collect_set(place)).alias("lines"),
             F.sort_array(F.collect_set(F.when(~F.col("entire"), F.col("license")))).alias("names"),
         )
     )

@@ -150,16 +150,16 @@ with known as (
 ), d as (
   select doc_id, {_squeezed("coalesce(text, '')")} as s from documents
 ), unit as (
-  select doc_id, true as entire, s from d
+  select doc_id, true as entire, 0 as place, s from d
   union all
-  select doc_id, false, unnest(string_split(s, chr(10))) from d
+  select doc_id, false, unnest(range(len(string_split(s, chr(10))))), unnest(string_split(s, chr(10))) from d
 ), hit as (
-  select doc_id, entire, license
-  from (select doc_id, entire, sha256({_spelled("s")}) as digest from unit where length(s) < 10000) u
+  select doc_id, entire, place, license
+  from (select doc_id, entire, place, sha256({_spelled("s")}) as digest from unit where length(s) < 10000) u
   join known on known.digest = u.digest
 ), found as (
   select doc_id, min(case when entire then license end) as license,
-    count(*) filter (not entire) as n,
+    count(distinct place) filter (not entire) as n,
     string_agg(distinct license, ',' order by license) filter (not entire) as names
   from hit group by doc_id
 )

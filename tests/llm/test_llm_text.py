@@ -268,6 +268,64 @@ def test_hit_documents_go_and_others_stay(spark, docs, strange):
     assert dec.contamination(docs([]), benchmark).collect() == []
 
 
+def plain_canonical(text):
+    """Letters and digits, one spelling, no lines that begin with the word copyright."""
+    words = []
+    for line in text.lower().split("\n"):
+        own = "".join(c if c.isalnum() else " " for c in line).split()
+        if own[:1] != ["copyright"]:
+            words.append([{"licence": "license", "organisation": "organization"}.get(w, w) for w in own])
+    return words
+
+
+def plain_scan(text, known):
+    """Every line, and every run of words from a line's beginning on, against every known text."""
+    lines = plain_canonical(text or "")
+    words = [w for line in lines for w in line]
+    entire = sorted(n for n, k in known if words and words == k)
+    found, at = [], 0
+    for line in lines:
+        for n, k in known:
+            if line and line == k:
+                found.append((at, False, n))
+            if line and len(k) > len(line) and words[at : at + len(k)] == k:
+                found.append((at, True, n))
+        at += len(line)
+    names = sorted({n for _, _, n in found})
+    return entire[0] if entire else None, len({f[:2] for f in found}), ",".join(names)
+
+
+def test_licenses_against_every_run_of_words(docs):
+    import textwrap
+
+    random.seed(17)
+    known = (
+        ("A", "Permission to use this software is granted to any person or organization under this license " * 3),
+        ("B", "Permission to use is refused"),
+        ("C", "You may not copy this. " + "No part of it, nor any other, is given away. " * 9),
+    )
+    canonical = [(n, [w for line in plain_canonical(t) for w in line]) for n, t in known]
+
+    def shown(text):
+        text = text.replace("license", random.choice(["license", "LICENCE"])).upper() if random.random() < 0.3 else text
+        wrapped = textwrap.wrap(text, random.choice([12, 20, 60, 500]))
+        gap = random.choice(["\n", "\n\n", "\n # \n", "\n" * 300])
+        return gap.join(random.choice(["", " * ", "// "]) + x for x in wrapped)
+
+    rows = []
+    for k in range(80):
+        parts = []
+        for _ in range(random.randrange(4)):
+            parts.append(shown(random.choice(known)[1]))
+            parts.append(random.choice(["some words", "Copyright 2020 Jane Doe", "", "permission to go", "You may not"]))
+        rows.append((k, "\n".join(parts)))
+    rows += [rows[5], rows[5], (5, "another text"), (90, shown(known[2][1])), (91, None), (92, "\n" * 9000 + known[0][1])]
+    got = sorted(map(tuple, licenses.scan_licenses(docs(rows), known).collect()), key=repr)
+    want = sorted(((i, *plain_scan(t, canonical)) for i, t in rows), key=repr)
+    assert got == want
+    assert sum(n > 0 for _, _, n, _ in want) > 30 and sum(a is not None for _, a, *_ in want) > 3
+
+
 # --- secrets ------------------------------------------------------------------------
 
 SECRET = [f"{k:x}9f3c2a7b5d1e8f6a4c0b2d9e7f1a3c5b8d6e{k:04x}" for k in range(60)]
