@@ -6,9 +6,12 @@ the first ``n // 4 + 1`` of their n shingles: their prefixes.
 
 1. Order.  Shingles that are frequent come last, the most frequent at the very end;
    all others go by hash.  Frequent ones are counted over all documents: each block of
-   texts reports those that two of its sets have, and reports are added up.  The order
-   decides on work only, never on results, so the table of frequent shingles may
-   hold the ``ranked`` most frequent ones, which bounds what tasks get a copy of.
+   texts reports those that two of its sets have, and reports are added up.  What is
+   spread so thinly that no block has it twice is met in a sample of all sets by hash,
+   whose shingles are counted one and all.  The order decides on work only, never on
+   results, so the table of frequent shingles may hold the ``ranked`` most frequent
+   ones, which bounds what tasks get a copy of; other frequent ones are marked in a
+   bitmap of fixed size and come after those that are not.
 2. Groups.  Documents with equal sets are a class, classes of equal size with equal
    prefixes are a group, and only groups enter the join.
 3. Stars.  Among the groups that share a prefix shingle, all are paired with the
@@ -28,7 +31,8 @@ has no component; an empty table gives an empty one; further columns are not rea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,10 @@ from .shingles import shingle_sets
 
 #: Sets whose shingles are counted together.
 BLOCK_SETS, BLOCK_SHINGLES = 1 << 14, 1 << 20
+#: One of so many sets has all of its shingles counted.
+SAMPLED = 16
+#: Bits of a shingle that mark it among the frequent ones without a rank: 8 MB of marks.
+MARK_BITS = 26
 
 
 def prefix_length(n):
@@ -57,21 +65,57 @@ def linked(common, n, m):
 # --- 1. order ---------------------------------------------------------------------
 
 
-def frequent_shingles(docs: DataFrame, width: int, least: int, ranked: int) -> np.ndarray:
-    """The ``ranked`` most frequent shingles with a count of ``least`` or more, rarest first.
+class Frequent(NamedTuple):
+    """The most frequent shingles, rarest first, and marks of places for all others."""
 
-    Equal sets of a block count once.  A shingle is counted short by one for each block
-    at most, where it stands alone.
+    ranked: np.ndarray
+    marks: np.ndarray | None
+
+    def classes(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from shingles to their order (0: rare, 1: marked, then by rank)."""
+        by_token = np.argsort(self.ranked, kind="stable")
+        known = self.ranked[by_token]
+        rank_of = (by_token + 2).astype(np.int64)
+
+        def of(tokens: np.ndarray) -> np.ndarray:
+            order = np.zeros(len(tokens), np.int64)
+            if self.marks is not None:
+                bits = len(self.marks).bit_length() + 2
+                place = (tokens.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                order += self.marks[place >> 3] >> (place & 7).astype(np.uint8) & 1
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                order = np.where(known[at] == tokens, rank_of[at], order)
+            return order
+
+        return of
+
+
+def frequent_shingles(docs: DataFrame, width: int, least: int, ranked: int) -> Frequent:
+    """Shingles with a count of ``least`` or more, the ``ranked`` most frequent by rank.
+
+    Equal sets of a block count once.  Blocks count a shingle short by one for each block
+    at most, where it stands alone; one of every ``SAMPLED`` sets counts all of its own,
+    which counts for ``SAMPLED`` from the second one on.  So a shingle of f sets, however
+    they are spread, stays uncounted with a probability of (1 + x) / e^x, x = f / SAMPLED:
+    of 500 sets that is 1e-12, at any number of documents, and lists do not get longer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        def counted(sets: list[np.ndarray], sample: list[np.ndarray]) -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(sets), return_counts=True)
-            several = n > 1
-            return pa.RecordBatch.from_pydict({"token": found[several], "n": n[several]})
+            found, n = found[n > 1], n[n > 1]
+            few, m = np.unique(np.concatenate([found[:0], *sample]), return_counts=True)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "token": np.concatenate([found, few]),
+                    "n": np.concatenate([n, np.zeros(len(few), n.dtype)]),
+                    "sampled": np.concatenate([np.zeros(len(found), m.dtype), m]),
+                }
+            )
 
         seen: set[bytes] = set()
-        sets, size = [], 0
+        sets, sample, size = [], [], 0
         for batch in batches:
             for tokens in shingle_sets(batch.column(0).to_pylist(), width):
                 digest = hashlib.md5(tokens).digest()
@@ -79,70 +123,83 @@ def frequent_shingles(docs: DataFrame, width: int, least: int, ranked: int) -> n
                     continue
                 seen.add(digest)
                 sets.append(tokens)
+                if int.from_bytes(digest[:4], "little") % SAMPLED == 0:
+                    sample.append(tokens)
                 size += len(tokens)
                 if size >= BLOCK_SHINGLES or len(sets) >= BLOCK_SETS:
-                    yield counted(sets)
-                    seen, sets, size = set(), [], 0
+                    yield counted(sets, sample)
+                    seen, sets, sample, size = set(), [], [], 0
         if sets:
-            yield counted(sets)
+            yield counted(sets, sample)
 
+    estimate = F.when(F.col("sampled") > 1, F.col("sampled") * SAMPLED).otherwise(0)
     counts = stage(
-        map_arrow(docs.select("text"), run, "token long, n long")
+        map_arrow(docs.select("text"), run, "token long, n long, sampled long")
         .groupBy("token")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.sum("sampled").alias("sampled"))
+        .select("token", F.greatest("n", estimate).alias("n"))
         .where(F.col("n") >= least),
         "frequent",
     )
     # The lowest count that leaves no more than ``ranked``: one row per distinct count.
-    total, lowest = 0, None
+    total, lowest, beyond = 0, None, False
     for n, tokens in counts.groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).toLocalIterator():
         total += tokens
         if total > ranked:
+            beyond = True
             break
         lowest = n
+    marks = _marked(counts.where(F.col("n") < lowest) if lowest else counts) if beyond else None
     if lowest is None:
-        return np.zeros(0, np.int64)
+        return Frequent(np.zeros(0, np.int64), marks)
     top = counts.where(F.col("n") >= lowest).toArrow()
     tokens, n = top.column("token").to_numpy(), top.column("n").to_numpy()
-    return tokens[np.lexsort((tokens, n))].astype(np.int64)
+    return Frequent(tokens[np.lexsort((tokens, n))].astype(np.int64), marks)
+
+
+def _marked(counts: DataFrame) -> np.ndarray:
+    """A bitmap of 2^MARK_BITS places with those of the given shingles' first bits set."""
+    place = F.shiftrightunsigned("token", 64 - MARK_BITS) + 1  # Spark's bitmaps count from 1
+    rows = (
+        counts.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        .collect()  # 4 KB for each of at most 2^MARK_BITS / 32768 buckets
+    )
+    marks = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for r in rows:
+        bits = np.frombuffer(r["bits"], np.uint8)
+        first = (r["bucket"] - 1) << 12
+        marks[first : first + len(bits)] = bits[: len(marks) - first]
+    return marks
 
 
 # --- 2. prefixes, classes and groups ----------------------------------------------
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: Frequent, width: int) -> DataFrame:
     """Per document: size of its set, digests of set and of (size, prefix), the prefix.
 
-    The last ``n_hot`` shingles of a prefix are frequent ones.
+    The last ``n_hot`` shingles of a prefix are ranked ones.
     """
     id_type = docs.schema["id"].dataType.simpleString()
-    by_token = np.argsort(frequent, kind="stable")
-    known = frequent[by_token]
-    rank_of = (by_token + 1).astype(np.int64)
-
-    def ranks(tokens: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        return np.where(known[at] == tokens, rank_of[at], 0)
-
     def digest(data: bytes) -> tuple[int, int]:
         a, b = np.frombuffer(hashlib.md5(data).digest(), np.int64).tolist()
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = frequent.classes()
         for batch in batches:
             sizes, whole, group, first, hot = [], [], [], [], []
             for tokens in shingle_sets(batch.column(1).to_pylist(), width):
                 n = len(tokens)
-                rank = ranks(tokens)
+                rank = classes(tokens)
                 order = np.argsort(rank, kind="stable")[: prefix_length(n) if n else 0]
                 prefix = tokens[order]
                 sizes.append(n)
                 whole.append(digest(tokens.tobytes()))
                 group.append(digest(n.to_bytes(8, "little") + prefix.tobytes()))
                 first.append(prefix)
-                hot.append(int(np.count_nonzero(rank[order])))
+                hot.append(int(np.count_nonzero(rank[order] > 1)))
             ends = np.cumsum([0, *map(len, first)], dtype=np.int64)
             flat = np.concatenate([np.zeros(0, np.int64), *first])
             yield pa.RecordBatch.from_arrays(
@@ -173,7 +230,8 @@ def index_lists(keyed: DataFrame, groups: DataFrame) -> DataFrame:
 
     Lists of frequent shingles are never brought together: their smallest group is a
     partial aggregate that is broadcast, a row per ranked shingle.  Other lists are
-    short by the way frequent ones are counted.
+    short: what could make a long one is counted as frequent (:func:`frequent_shingles`),
+    and put behind all else in every prefix even if it has no rank.
     """
     leaders = broadcast_if_small(groups.select("gid"))
     rows = keyed.join(leaders, keyed["id"] == leaders["gid"], "left_semi").select(

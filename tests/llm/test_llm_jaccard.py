@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_fixtures import docs, strange  # noqa: F401
 from reelmill.llm import jaccard
@@ -130,6 +131,45 @@ def test_shingle_sets_equal_brute_force(monkeypatch):
     assert np.array_equal(same[0], same[2])
 
 
+def spread(n, every):
+    """Texts of their own, one in ``every`` with a phrase that no block of as many has twice."""
+    return [
+        (k, f"u{k} v{k} w{k} x{k} y{k}" + (" one phrase of five words" if k % every == 0 else ""))
+        for k in range(n)
+    ]
+
+
+def test_a_thinly_spread_phrase_is_counted(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    rows = spread(3600, 18)  # 200 times, never twice in a block
+    df = docs(rows).coalesce(1).select(F.col("doc_id").alias("id"), "text")
+    (phrase,) = next(shingle_sets(["one phrase of five words"])).tolist()
+    found = jaccard.frequent_shingles(df, 5, 50, 100)
+    assert phrase in found.ranked.tolist() and found.marks is None
+    monkeypatch.setattr(jaccard, "SAMPLED", 1 << 30)
+    assert phrase not in jaccard.frequent_shingles(df, 5, 50, 100).ranked.tolist()
+
+
+def test_frequent_shingles_without_a_rank_are_marked(docs, monkeypatch):
+    rows = spread(400, 2) + [(k, f"a{k} b{k} c{k} d{k} e{k} other words that all share") for k in range(500, 600)]
+    df = docs(rows).coalesce(1).select(F.col("doc_id").alias("id"), "text")
+    often, less = (next(shingle_sets([t])) for t in ("one phrase of five words", "other words that all share"))
+    found = jaccard.frequent_shingles(df, 5, 20, 1)
+    assert found.ranked.tolist() == often.tolist()
+    rare = next(shingle_sets([rows[1][1]]))
+    order = found.classes()
+    assert order(often).tolist() == [2] and order(less).tolist() == [1] and order(rare).max() == 0
+    assert sum(bin(b).count("1") for b in found.marks.tolist()) == 1
+    keyed = {r["id"]: r for r in jaccard.prefixes(df, found, 5).collect()}
+    row = keyed[500]
+    assert row["n"] == 6 and less[0] not in row["prefix"] and row["n_hot"] == 0
+    with_phrase = keyed[0]
+    assert often[0] not in with_phrase["prefix"]
+    monkeypatch.setattr(jaccard, "MARK_BITS", 15)  # marks that meet others by chance
+    got = jaccard.jaccard_components(docs(corpus(9)), least=2, ranked=3).collect()
+    assert sorted(map(tuple, got), key=repr) == all_pairs(corpus(9))
+
+
 def test_components_of_chains_stars_and_rings(spark):
     random.seed(8)
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)]
