@@ -7,8 +7,10 @@ is scanned only at those places: the hash of the run there is looked up in a bro
 hash table of the runs of all windows, and a hit is verified word by word against the
 whole window.  That needs one lookup for every six words instead of one for each.
 
-Everything is DataFrame code on built-in functions.  The table of runs is broadcast if
-its rows are counted to be few; a larger benchmark is joined by shuffling.  Only hits
+Everything is DataFrame code on built-in functions.  Windows have numbers, and the table
+of runs carries these, not the items: which items have a window is joined to the hits
+afterwards, so a window that very many items share is one row.  The table is broadcast if
+its bytes are counted to be few; a larger benchmark is joined by shuffling.  Only hits
 are ever shuffled, one row per document and place at most.
 
 Defined results: null and empty texts have no words; null item texts no windows; equal
@@ -23,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import broadcast_if_small, let
+from .common import broadcast_if_small, let, named
 
-#: Rows of the run table that are broadcast: with up to ten words each, some 60 MB.
-BROADCAST_RUNS = 200_000
+#: Bytes that the table of runs may have, as its rows are counted, to be broadcast.
+BROADCAST_BYTES = 48 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII other than letters and digits separates words.
@@ -58,27 +60,30 @@ def windows(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     ).distinct()
 
 
-def _runs(found: DataFrame) -> DataFrame:
-    """Rows (run, length, ahead, window, items): the window's run after ``ahead`` words."""
+def _runs(numbered: DataFrame) -> DataFrame:
+    """Rows (run, length, ahead, window, number): the window's run after ``ahead`` words."""
     length = F.size("window")
     k = F.greatest(F.lit(1), F.floor(length / 2).cast("int"))
-    return (
-        found.groupBy("window")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .select(
-            "window",
-            "items",
-            length.alias("length"),
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(1), length - k + 1),
-                    lambda i: F.xxhash64(F.slice("window", i, k)),
-                )
-            ).alias("ahead", "run"),
-        )
+    return numbered.select(
+        "window",
+        "number",
+        length.alias("length"),
+        F.posexplode(
+            F.transform(
+                F.sequence(F.lit(1), length - k + 1),
+                lambda i: F.xxhash64(F.slice("window", i, k)),
+            )
+        ).alias("ahead", "run"),
     )
 
 
+def _run_bytes(numbered: DataFrame) -> int:
+    """About what the runs of all windows take in memory."""
+    words = F.size("window")
+    each = 96 + 16 * words + F.octet_length(F.array_join("window", ""))
+    return numbered.agg(F.sum((words - F.floor(words / 2) + 1) * each)).first()[0] or 0
+
+
 def _places(words: Column, length: int) -> Column:
     """Where windows of one length are looked up: structs of place, run and nearby words."""
     k = _run_length(length)
@@ -99,18 +104,17 @@ def _places(words: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(1), last, F.lit(ahead + 1)), place)
 
 
-def hits(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Occurrences of the windows ``found`` in ``docs``.
+def hits(docs: DataFrame, numbered: DataFrame, text_col: str = "text") -> DataFrame:
+    """Occurrences in ``docs`` of written windows (number, window).
 
-    The columns of ``docs`` but the text, then start (words before it), length, items.
+    The columns of ``docs`` but the text, then start (words before it), length, number.
     """
-    found = stage(found, "windows")
-    runs = _runs(found)
+    runs, found = _runs(numbered), numbered
     lengths = sorted(r[0] for r in found.select(F.size("window")).distinct().collect())
     kept = [c for c in docs.columns if c != text_col]
     if not lengths:
         return docs.limit(0).select(
-            *kept, F.lit(0).alias("start"), F.lit(0).alias("length"), F.array(F.lit("")).alias("items")
+            *kept, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("number")
         )
     scanned = docs.select(
         *kept,
@@ -121,7 +125,7 @@ def hits(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame
             )
         ).alias("p"),
     ).alias("d")
-    small = runs.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    small = _run_bytes(numbered) <= BROADCAST_BYTES
     begin = F.col("p.at") - F.col("r.ahead")
     offset = F.greatest(F.lit(1), begin - F.col("p.first") + 1)
     return scanned.join(
@@ -134,7 +138,7 @@ def hits(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame
         *[F.col(f"d.`{c}`") for c in kept],
         (begin - 1).alias("start"),
         F.col("r.length").alias("length"),
-        F.col("r.items").alias("items"),
+        F.col("r.number").alias("number"),
     )
 
 
@@ -154,30 +158,36 @@ def _covered(spans: Column) -> Column:
 
 def _key(text_col: str) -> Column:
     """With the id, tells rows apart, so that hits need not carry the text."""
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.xxhash64(F.coalesce(named(text_col), F.lit("")))
 
 
-def hit_documents(
-    docs: DataFrame,
-    items: DataFrame,
-    width: int = 10,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-) -> DataFrame:
+def hit_windows(
+    docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """Hits (id, key, start, length, number) and the items of windows (number, item), written."""
+    keyed = docs.select(named(id_col).alias("id"), _key(text_col).alias("key"), named(text_col).alias("text"))
+    found = stage(windows(items, width, item_col, item_text_col), "item_windows")
+    distinct = found.select("window").distinct()
+    # Written, so a window keeps its number.
+    numbered = stage(distinct.withColumn("number", F.monotonically_increasing_id()), "windows")
+    of_items = found.join(numbered, "window").select("number", "item")
+    return stage(hits(keyed, numbered), "hits"), of_items
+
+
+def hit_documents(hit: DataFrame, of_items: DataFrame) -> DataFrame:
     """Documents with a hit: id, key, spans of words (start, length), items as strings."""
-    keyed = docs.select(
-        F.col(id_col).alias("id"), _key(text_col).alias("key"), F.col(text_col).alias("text")
+    spans = hit.groupBy("id", "key").agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans")
     )
-    return (
-        hits(keyed, windows(items, width, item_col, item_text_col))
+    by_number = broadcast_if_small(stage(of_items, "window_items"))
+    names = (
+        hit.select("id", "key", "number")
+        .distinct()
+        .join(by_number, "number")
         .groupBy("id", "key")
-        .agg(
-            F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
+        .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
+    return spans.alias("s").join(names.alias("n"), _same("s", "n")).select("s.*", "n.items")
 
 
 def _same(left: str, right: str) -> Column:
@@ -196,11 +206,12 @@ def contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """Per document: id, n_words, n_hit, spans, items, contaminated."""
-    found = hit_documents(docs, items, width, id_col, text_col, item_col, item_text_col)
+    hit, of_items = hit_windows(docs, items, width, id_col, text_col, item_col, item_text_col)
+    found = hit_documents(hit, of_items)
     counted = docs.select(
-        F.col(id_col).alias("id"),
+        named(id_col).alias("id"),
         _key(text_col).alias("key"),
-        F.size(item_words(F.col(text_col))).cast("long").alias("n_words"),
+        F.size(item_words(named(text_col))).cast("long").alias("n_words"),
     )
     return (
         counted.alias("c")
@@ -226,8 +237,8 @@ def decontaminate(
     item_text_col: str = "text",
 ) -> DataFrame:
     """``docs``, all columns, without the documents that hold a window of an item."""
-    found = hit_documents(docs, items, width, id_col, text_col, item_col, item_text_col)
-    hit = broadcast_if_small(stage(found.select("id", "key"), "hit_documents"))
-    named = docs.withColumns({"__hit_id": F.col(id_col), "__hit_key": _key(text_col)}).alias("d")
+    found, _ = hit_windows(docs, items, width, id_col, text_col, item_col, item_text_col)
+    hit = broadcast_if_small(stage(found.select("id", "key").distinct(), "hit_documents"))
+    marked = docs.withColumns({"__hit_id": named(id_col), "__hit_key": _key(text_col)}).alias("d")
     same = F.col("d.__hit_id").eqNullSafe(F.col("h.id")) & (F.col("d.__hit_key") == F.col("h.key"))
-    return named.join(hit.alias("h"), same, "left_anti").drop("__hit_id", "__hit_key")
+    return marked.join(hit.alias("h"), same, "left_anti").drop("__hit_id", "__hit_key")

@@ -230,9 +230,9 @@ def contaminated(rows, items):
 ITEMS = "item_id long, text string, words string, window string, length string"
 
 
-@pytest.mark.parametrize("bound", [dec.BROADCAST_RUNS, 0])
+@pytest.mark.parametrize("bound", [dec.BROADCAST_BYTES, 0])
 def test_hits_equal_brute_force(spark, docs, strange, monkeypatch, bound):
-    monkeypatch.setattr(dec, "BROADCAST_RUNS", bound)
+    monkeypatch.setattr(dec, "BROADCAST_BYTES", bound)
     random.seed(4)
     words = "a b c d e f".split()
     items = [(k, " ".join(random.choices(words, k=random.randint(9, 14)))) for k in range(10)]
