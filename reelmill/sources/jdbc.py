@@ -3,6 +3,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.selection import select_percentiles
 
 
 def jdbc_options(
@@ -32,6 +35,39 @@ def jdbc_options(
     }
 
 
+def equi_depth_predicates(keys: DataFrame, column: str, parts: int) -> list[str]:
+    """Conditions that cut a table into ``parts`` ranges of about as many rows each.
+
+    ``keys`` has the table's numeric key column, or a sample of it: a column of an earlier
+    load, or a query for keys only.  Bounds are its quantiles, so a range of keys that
+    holds most rows is cut as finely as its rows ask for; a single key cannot be cut, and
+    ranges that would be empty are left out.  Every row, NULL keys too, meets exactly one
+    condition, also rows outside of what ``keys`` knew.
+    """
+    points = {f"b{k}": k / parts for k in range(1, parts)}
+    if not points:
+        return ["1 = 1"]
+    numbered = keys.select(F.lit(1).alias("all"), F.col(column).alias("v"))
+    found = select_percentiles(numbered, ["all"], "v", **points).first()
+    bounds = sorted({found[p] for p in points}) if found else []
+    if not bounds:
+        return ["1 = 1"]
+    edges = [f"{column} < {bounds[0]} OR {column} IS NULL"]
+    edges += [f"{column} >= {a} AND {column} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [*edges, f"{column} >= {bounds[-1]}"]
+
+
+def read_jdbc_ranges(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    predicates: list[str],
+    properties: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Scan a relational table, a task for each of the given conditions."""
+    return spark.read.jdbc(url, table, predicates=predicates, properties=dict(properties or {}))
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,

@@ -63,6 +63,20 @@ def test_json_array_files(spark, rows):
     assert rows(got) == [("5.1", "2026-01-05"), ("5.2", "2026-01-05")]
 
 
+def test_equi_depth_ranges_take_every_row_once(spark):
+    """Half of the rows have keys among a thousandth of the span."""
+    ids = [k * 1000 for k in range(500)] + [250_000 + k for k in range(1500)] + [77] * 400 + [None] * 3
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(4)
+    ranges = jdbc.equi_depth_predicates(df, "id", 8)
+    rows = [df.where(p).count() for p in ranges]
+    assert sum(rows) == len(ids) and 5 <= len(ranges) <= 8
+    assert max(rows) <= 2 * len(ids) / 8  # even cuts between the bounds put 1,600 in one range
+    beyond = spark.createDataFrame([(-5,), (10**9,), (None,)], "id long")
+    assert [sum(beyond.where(p).count() for p in ranges)] == [3]
+    assert jdbc.equi_depth_predicates(df.limit(0), "id", 8) == ["1 = 1"]
+    assert jdbc.equi_depth_predicates(df.where("id = 77"), "id", 4) == ["id < 77 OR id IS NULL", "id >= 77"]
+
+
 def test_jdbc_options():
     whole = jdbc.jdbc_options("jdbc:x", "t")
     assert whole == {"url": "jdbc:x", "dbtable": "t", "fetchsize": "10000"}
@@ -262,6 +276,28 @@ def test_tables_are_ingested_together_and_published_by_location(spark, rows):
     assert rows(reconcile({"a": 1, "b": 2}, {"a": 1}, spark)) == [("b", 2, None, 2)]
 
 
+def test_a_merge_shuffles_only_keys_the_batch_may_have(spark):
+    path = scratch_path(spark, "merge")
+    spark.range(200_000).selectExpr("id AS k", "'old' AS v").write.parquet(path)
+    target = spark.read.parquet(path)
+    batch = spark.createDataFrame([(k, "new") for k in [5, 5, 199_999, 300_000, 300_001, 300_001, None]], "k long, v string")
+    near = merge.possibly_in(target, ["k"], batch)
+    assert {5, 199_999} <= {r["k"] for r in near.collect()} and near.count() < 20
+    added = merge.new_by_key(target, batch, ["k"], ["v"])
+    assert sorted(((r["k"], r["v"]) for r in added.collect()), key=repr) == [(300_000, "new"), (300_001, "new"), (None, "new")]
+    assert merge.key_filter(batch.limit(0), ["k"]).count() == 0
+    assert merge.new_by_key(target.limit(0), batch, ["k"], ["v"]).count() == 5
+    short = batch.withColumn("k", F.col("k").cast("int"))  # another type, another hash
+    assert merge.new_by_key(target, short, ["k"], ["v"]).count() == 3
+
+
+def test_filter_bits_of_all_words_are_found(spark):
+    """Every key of the batch gets through, whichever bit of a long is its own."""
+    batch = spark.range(5000).selectExpr("id * 7919 AS k", "cast(id % 3 AS string) AS s")
+    near = merge.possibly_in(batch, ["k", "s"], batch)
+    assert near.count() == 5000 and near.exceptAll(batch).count() == 0
+
+
 def test_registry(spark, rows):
     root = scratch_path(spark, "reg")
     files.ingest_full_refresh({"links": spark.createDataFrame(LINKS, SOURCE["links"])}, f"{root}/ds")
