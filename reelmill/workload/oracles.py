@@ -561,6 +561,11 @@ FROM s_ratings GROUP BY user_id""",
     "agg_percentile": """
 SELECT movie_id, quantile_disc(rating, 0.25) AS p25, quantile_disc(rating, 0.5) AS p50,
   quantile_disc(rating, 0.75) AS p75 FROM s_ratings GROUP BY movie_id""",
+    "topn_per_group_any": """
+SELECT l_returnflag, l_extendedprice, l_orderkey * 8 + l_linenumber AS line,
+  row_number() OVER (PARTITION BY l_returnflag
+    ORDER BY l_extendedprice DESC, l_orderkey * 8 + l_linenumber) AS rank
+FROM lineitem QUALIFY rank <= 1500""",
     "agg_percentile_any": """
 SELECT l_returnflag, quantile_disc(l_extendedprice, 0.05) AS p05,
   quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.99) AS p99

@@ -332,6 +332,15 @@ def topn_per_group(lake: Lake) -> DataFrame:
     )
 
 
+@query
+def topn_per_group_any(lake: Lake) -> DataFrame:
+    """The 1,500 dearest order lines per return flag: more than Spark cuts groups to."""
+    lines = lake.given("lineitem").select(
+        "l_returnflag", "l_extendedprice", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line")
+    )
+    return selection.top_per_group(lines, ["l_returnflag"], "l_extendedprice", "line", 1500)
+
+
 @query
 def prd_like(lake: Lake) -> DataFrame:
     tag = F.lower("tag")

@@ -61,11 +61,29 @@ def test_percentiles_of_longs_that_no_double_tells_apart(spark):
     assert selection.select_percentiles(df.limit(0), ["k"], "v", a=0.1).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 7, 1200])
+def test_top_lists_of_any_length(spark, n):
+    """Groups with many equal values, with fewer rows than asked for, and a NULL group."""
+    rng = random.Random(13)
+    rows = [("hot", float(rng.randrange(40)), k, "x") for k in range(4000)]
+    rows += [("level", 2.5, 10_000 + k, "x") for k in range(2000)]
+    rows += [("few", rng.random(), 20_000 + k, "x") for k in range(5)]
+    rows += [(None, float("nan") if k < 3 else rng.random(), 30_000 + k, "x") for k in range(1500)]
+    df = spark.createDataFrame(rows, "g string, v double, id long, rank_of string").repartition(6)
+    got = selection.top_per_group(df, ["g"], "v", "id", n)
+    assert got.columns == ["g", "v", "id", "rank_of", "rank"]
+    want = []
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (not math.isnan(r[1]), -r[1] if r[1] == r[1] else 0, r[2]))
+        want += [(g, r[2], k + 1) for k, r in enumerate(own[:n])]
+    assert sorted(((r["g"], r["id"], r["rank"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_no_key_is_ordered_as_a_whole(spark):
     """What is put in order has a row per part of a range, however many values there are."""
     df = spark.range(50_000).selectExpr("1 AS k", "id * 0.37 AS v")
     ranges = spark.createDataFrame([(1, "p", 0.0, 18499.63, 50_000, 25_000)], "k0 int, point string, low double, high double, n long, rank long")
-    rows = df.select(F.col("k").alias("k0"), "v")
+    rows = df.select(F.col("k").alias("k0"), "v", F.lit(None).alias("given"))
     narrow = selection._narrowed(rows, ranges, ["k0"], False)
     (r,) = narrow.collect()
     assert r["low"] <= 24_999 * 0.37 <= r["high"] and r["n"] <= 50_000 // (selection.BINS - 4)
