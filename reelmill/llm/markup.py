@@ -20,6 +20,9 @@ INLINE = frozenset(
 )
 #: Elements whose content is no markup: it ends at their end tag.
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
+FOREIGN = frozenset({"svg", "math"})
 #: A start tag of these ends an open element of the second set, looked for up to the third.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -53,11 +56,15 @@ AROUND = frozenset(
     " sharing social related recommended recommendations comment comments commentlist disqus"
     " respond replies hidden copyright topbar".split()
 )
-#: The same, but part of an article if they stand in one.
-AROUND_PAGE = frozenset("header".split())
+#: The same, but part of an article if they stand in one, or are named after one.
+AROUND_PAGE = frozenset({"header"})
+OF_ARTICLE = frozenset("article entry post story content".split())
+#: First parts of names of articles that are not the page's own.
+NOT_THE_ARTICLE = frozenset("comment comments ad ads advert advertisement sponsored promo related".split())
 #: Names of main texts, and ends of names that only lay things out.
 MAIN_WORDS = frozenset("article content main post entry story body page".split())
 LAYOUT = frozenset("wrap wrapper container layout inner".split())
+FREE_OF = frozenset({"free"})
 STATE = frozenset("has with no without".split())
 
 _TAG = re.compile(
@@ -83,8 +90,8 @@ def _around(name: str, within: int) -> bool:
     """Whether a class name or id is that of something around a main text."""
     parts = [p.lower() for p in re.split(r"[^A-Za-z]+", name) if p]
     words = set(parts) | {w.lower() for w in _CAMEL.findall(name)}
-    telling = words & AROUND or (within < MAIN and words & AROUND_PAGE)
-    if not telling or parts[0] in STATE:
+    of_page = within < MAIN and words & AROUND_PAGE and not words & OF_ARTICLE
+    if not (words & AROUND or of_page) or parts[0] in STATE or parts[-1] in FREE_OF:
         return False
     return not (parts[-1] in LAYOUT and words & MAIN_WORDS)
 
@@ -98,6 +105,10 @@ def _standing(name: str, attrs: dict[str, str], within: int) -> int:
     if name in ("html", "body"):
         return within
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    if main == ARTICLE:
+        around = any(re.split(r"[^a-z]+", n.lower())[0] in NOT_THE_ARTICLE for n in names)
+    else:
+        around = name != "main" and any(_around(n, within) for n in names)
     style = attrs.get("style", "").replace(" ", "").lower()
     if (
         name in NO_TEXT
@@ -107,7 +118,7 @@ def _standing(name: str, attrs: dict[str, str], within: int) -> int:
         or attrs.get("aria-hidden", "").lower() == "true"
         or "display:none" in style
         or "visibility:hidden" in style
-        or (name != "main" and any(_around(n, max(within, main)) for n in names))
+        or around
     ):
         return OUT
     return max(within, main)
@@ -194,8 +205,10 @@ def parse(html: str | None) -> Page:
 
     def text(raw: str) -> None:
         value = unescape(raw) if "&" in raw else raw
-        _, standing, path, _ = stack[-1]
         said = " ".join(value.split())
+        if said and stack[-1][0] == "head":
+            pop(len(stack) - 1)
+        _, standing, path, _ = stack[-1]
         if said:
             page.tokens.append(_key(path, "#", said))
         page.runs.append(Run(len(page.tokens) - 1, block, value, standing, is_open["a"] > 0))
@@ -225,6 +238,8 @@ def parse(html: str | None) -> Page:
                 if stack[k][0] in SCOPES or (inline and stack[k][0] not in INLINE):
                     break
             continue
+        if is_open["head"] and stack[-1][0] == "head" and name not in HEAD:
+            pop(len(stack) - 1)
         if name in IMPLIED:
             close(*IMPLIED[name])
         if not inline and name not in VOID or name == "hr":
@@ -235,6 +250,8 @@ def parse(html: str | None) -> Page:
             page.tokens.append(opened[2])
         if name in VOID:
             continue
+        if tag["attrs"].endswith("/") and (name in FOREIGN or any(is_open[f] for f in FOREIGN)):
+            continue  # only there a start tag can close itself
         stack.append(opened)
         is_open[name] += 1
         if name in RAW:

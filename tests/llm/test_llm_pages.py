@@ -65,6 +65,12 @@ def test_given_pages_equal_their_articles(spark):
         ("a < b and <3 <img alt='x > y'> c", "a < b and <3 c"),
         ("cut off <a href='x", "cut off"),
         ("<noscript>no</noscript><textarea>no</textarea><button>no</button>yes", "yes"),
+        ("<html><head><title>no</title><meta x><p>head is over", "head is over"),
+        ("<head><style>no</style>text ends it", "text ends it"),
+        ("<svg class=x/>yes<svg><path d=1/><text>no</text></svg> too", "yes too"),
+        ('<div class="ad-free">yes</div><div class="entry-header">title</div><div class="site-header">no</div>', "yes title"),
+        ('<article class="post tag-social">yes</article><article class="comment">no</article>', "yes"),
+        ("<DIV>Upper</DIV><NAV>no</NAV>", "Upper"),
         ("&lt;p&gt; stays &am", "<p> stays &am"),
         ("", ""),
         (None, ""),
