@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +88,20 @@ def percentile_of_counts(value: ColumnLike, p: float) -> Column:
     return F.min(F.when(reached, as_col(value)))
 
 
+def percentile_of_bins(total: ColumnLike, bins: Mapping[int, str], p: float) -> Column:
+    """Discrete percentile, exact, from a column of counts per value, values ascending.
+
+    What ``total`` counts besides the bins are nulls, which come first and are no value.
+    """
+    rank = F.ceil(F.lit(p) * as_col(total))
+    upto = as_col(total) - sum((F.col(c) for c in bins.values()), F.lit(0))
+    found = []
+    for value, c in bins.items():
+        upto = upto + F.col(c)
+        found.append(F.when((F.col(c) > 0) & (upto >= rank), F.lit(value)))
+    return F.coalesce(*found).cast("bigint")
+
+
 def percentiles(
     df: DataFrame, keys: Sequence[str], value: str, **points: float
 ) -> DataFrame:

@@ -8,7 +8,7 @@ distinct pairs, which spread over all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
@@ -30,6 +30,7 @@ from ..operators.aggregates import (
     mean_of_moments,
     merged_moments,
     moments,
+    percentile_of_bins,
     percentile_of_counts,
     stddev_of_moments,
     value_counts,
@@ -43,6 +44,9 @@ from ..operators.similarity import best_matches
 # Which candidates may be recommended, and how alike they must be.
 MIN_AVG_RATING, MIN_RATINGS, MIN_FLAG_MATCHES = 3.5, 10, 3
 
+# Places that a user's ratings are dealt to, and the hours a rating can have.
+SHARES, HOURS = 4, range(24)
+
 BANDS = [name for _, name in labels.RATING_BANDS] + [labels.LOWEST_BAND]
 
 
@@ -133,17 +137,70 @@ def movie_analytics(movies: DataFrame, ratings: DataFrame, tags: DataFrame) -> D
     )
 
 
+def user_profile(ratings: DataFrame) -> DataFrame:
+    """Count, spread, bands, first and last rating, median hour and movies per user.
+
+    Most users have a few ratings, which no partial aggregate collapses, so ratings are
+    shuffled once, narrow, to ``SHARES`` places per user by their movie: a pair of user
+    and movie lies in one place, so its first row there stands for the pair, and a user's
+    places add up.  A missing hour counts as earlier than all others.
+    """
+    rows = ratings.select(
+        "user_id",
+        "movie_id",
+        "rating",
+        "hour_of_day",
+        "rating_datetime",
+        F.pmod(F.hash("movie_id"), F.lit(SHARES)).alias("share"),
+    ).repartition("user_id", "share")
+    by_movie = Window.partitionBy("user_id", "share").orderBy("movie_id")
+    first_of_movie = F.col("movie_id").isNotNull() & ~F.col("movie_id").eqNullSafe(
+        F.lag("movie_id").over(by_movie)
+    )
+    hours = [f"hour_{h}" for h in HOURS]
+    places = (
+        rows.withColumn("new_movie", first_of_movie)
+        .withColumn("n", F.lit(1))
+        .groupBy("user_id", "share")
+        .agg(
+            *moments("rating"),
+            *band_sums(),
+            F.min("rating_datetime").alias("first_at"),
+            F.max("rating_datetime").alias("last_at"),
+            count_when(F.col("new_movie")).alias("movies_rated"),
+            *[count_when(F.col("hour_of_day") == h).alias(n) for h, n in zip(HOURS, hours, strict=True)],
+        )
+    )
+    counts = ["movies_rated", *map(band_column, BANDS), *hours]
+    users = places.groupBy("user_id").agg(
+        *merged_moments(),
+        *[F.sum(c).alias(c) for c in counts],
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+    )
+    return users.select(
+        "user_id",
+        F.col("n").alias("total_ratings"),
+        mean_of_moments().alias("avg_rating"),
+        stddev_of_moments().alias("stddev_rating"),
+        *map(band_column, BANDS),
+        "first_at",
+        "last_at",
+        whole_days("first_at", "last_at").alias("days_active"),
+        percentile_of_bins("n", dict(zip(HOURS, hours, strict=True)), 0.5).alias("median"),
+        F.when(F.col("user_id").isNotNull(), F.col("movies_rated")).alias("movies_rated"),
+    )
+
+
 def user_behavior(ratings: DataFrame, tags: DataFrame) -> DataFrame:
     """One row per user who rated; users who only tagged have none."""
-    rated = rating_profile(ratings, "user_id", ["hour_of_day", "rating"])
-    movies_rated = distinct_by(ratings, ["user_id"], movies_rated="movie_id")
     tagged = tags.groupBy("user_id").agg(
         F.count("*").alias("total_tags"),
         F.count_distinct("movie_id").alias("movies_tagged"),
         F.count_distinct("tag_normalized").alias("unique_tags"),
     )
     tag_counts = ["total_tags", "movies_tagged", "unique_tags"]
-    return join_left(rated, movies_rated, tagged, on="user_id").select(
+    return join_left(user_profile(ratings), tagged, on="user_id").select(
         "user_id",
         "total_ratings",
         "movies_rated",

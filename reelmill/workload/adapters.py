@@ -53,17 +53,25 @@ def movies(part: DataFrame) -> DataFrame:
 
 def ratings(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     okey, line, part, cust = map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "o_custkey"))
-    user = F.when(line == 1, cust % 10).when(line == 2, cust % 50).otherwise(cust)
     movie = F.when(okey % 4 == 0, part % 10).when(okey % 4 == 1, part % 100).otherwise(part)
-    tenth = F.floor(F.col("l_quantity") / 10)
+    # What the join shuffles is what the rating takes from a line, in small numbers.
+    lines = lineitem.select(
+        "l_orderkey",
+        F.when(line == 1, 1).when(line == 2, 2).otherwise(0).alias("side"),
+        movie.alias("movieid"),
+        F.floor(F.col("l_quantity") / 10).alias("tenth"),
+        (epoch("l_shipdate") + (okey * 7919 + line * 3571) % 86400).alias("timestamp"),
+    )
+    side, tenth = F.col("side"), F.col("tenth")
+    user = F.when(side == 1, cust % 10).when(side == 2, cust % 50).otherwise(cust)
     # Some users like whatever they see; the others go by the movie.
     halves = F.when(user % 29 == 0, 8 + tenth % 3).otherwise(tenth + (F.col("movieid") * 5) % 7)
-    joined = lineitem.join(orders.select("o_orderkey", "o_custkey"), okey == F.col("o_orderkey"))
-    return joined.withColumn("movieid", movie).select(
+    joined = lines.join(orders.select("o_orderkey", "o_custkey"), okey == F.col("o_orderkey"))
+    return joined.select(
         F.when(okey % 97 != 0, user).alias("userid"),
         "movieid",
         F.when(okey % 89 != 0, halves / 2.0).cast("double").alias("rating"),
-        (epoch("l_shipdate") + (okey * 7919 + line * 3571) % 86400).alias("timestamp"),
+        "timestamp",
     )
 
 

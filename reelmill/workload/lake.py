@@ -81,7 +81,7 @@ class Lake:
             else:
                 keys = GOLD_KEYS[f"gold_{name}"]
                 df = self.gold(name).repartitionByRange(*keys).sortWithinPartitions(*keys)
-            self._stored[name] = stage(df, name)
+            self._stored[name] = stage(df, name, codec="zstd")
         return self._stored[name]
 
     def series(self, name: str) -> Series:

@@ -137,6 +137,45 @@ def test_build_twice_gives_the_same_tables(spark, rows):
     assert serving.adhoc(spark, "gold_user_behavior", db="b1_gold").count() == 10
 
 
+def rated(spark, data):
+    at = F.col("rating_datetime")
+    return spark.createDataFrame(
+        data, "user_id long, movie_id long, rating double, rating_datetime timestamp"
+    ).withColumn("hour_of_day", F.hour(at).cast("bigint"))
+
+
+def test_user_behavior_equals_a_plain_count(spark, layers):
+    data = [(1, 7 * k % 90, (k * k % 10 + 1) / 2, datetime(2020, 1, 1 + k % 28, k * 5 % 24)) for k in range(600)]
+    data += [(2, None, 3.0, None), (2, 4, 3.0, None), (2, 4, 4.0, datetime(2020, 1, 1, 9))]
+    data += [(3, 1, 2.0, None), (4, k := 5, 2.5, datetime(2020, 1, 1, 23)), (4, k, 2.5, datetime(2020, 1, 2, 0))]
+    got = {r["user_id"]: r for r in gold.user_behavior(rated(spark, data), layers["tags"]).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for user, row in got.items():
+        mine = [d for d in data if d[0] == user]
+        assert row["total_ratings"] == len(mine)
+        assert row["movies_rated"] == len({d[1] for d in mine} - {None})
+        # Missing hours come first; what the half of the ratings reaches is an hour there is.
+        hours = sorted(d[3].hour if d[3] else -1 for d in mine)
+        reached = [h for h in hours[(len(hours) + 1) // 2 - 1 :] if h >= 0]
+        assert row["typical_hour"] == (reached[0] if reached else None)
+        assert row["avg_rating"] == pytest.approx(sum(d[2] for d in mine) / len(mine), abs=0.006)
+        assert row["ratings_excelente"] == sum(d[2] >= 4.5 for d in mine)
+        times = [d[3] for d in mine if d[3]]
+        assert (row["first_rating"], row["last_rating"]) == ((min(times), max(times)) if times else (None, None))
+
+
+def test_user_behavior_shuffles_ratings_once(spark, layers):
+    data = [(k % 50, k, 3.0, datetime(2020, 1, 1, k % 24)) for k in range(500)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = gold.user_behavior(rated(spark, data), layers["tags"].limit(0))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(user_id" in x]
+    assert sum("hour_of_day" in x or "movie_id" in x or "share" in x for x in dealt) == 1
+
+
 def test_broken_data_stops_the_build(spark, rows):
     root = scratch_path(spark, "build")
     seed(spark, f"{root}/bronze_files")
