@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import release, stage
 from .common import all_of, broadcast_if_small, map_arrow, named
 from .components import components
 from .shingles import shingle_sets
@@ -418,7 +418,9 @@ def jaccard_components(
         .select(F.col("id").alias("a"), F.col("cls").alias("b"))
     )
 
+    release(docs.sparkSession)
     lists = stage(index_lists(keyed, classes.where("cls = gid")), "lists")
+    release(docs.sparkSession)
     stars = stage(star_pairs(lists, classes), "star_pairs")
     links = copies.unionByName(verified(docs, stars, width))
     found = components(links)
@@ -429,9 +431,11 @@ def jaccard_components(
         ),
         "placed",
     )
+    release(docs.sparkSession)
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest_pairs(lists, placed).join(tested, ["a", "b"], "left_anti")
     more = stage(verified(docs, rest, width), "more_links")
+    release(docs.sparkSession)
     if not more.isEmpty():
         found = components(
             found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
@@ -469,6 +473,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one = "id" if plain else F.when(F.col("id").isNotNull(), F.struct("id", "key")).alias("id")
     found = stage(jaccard_components(rows.select(one, "text"), "id", "text"), "components")
     gone = stage(found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
+    release(docs.sparkSession)
     mine = named(id_col)
     if not plain:
         mine = F.when(mine.isNotNull(), F.struct(mine.alias("id"), key.alias("key")))

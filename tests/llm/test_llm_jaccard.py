@@ -185,6 +185,18 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components(none).collect() == []
 
 
+@pytest.mark.parametrize("links, rounds", [([], 0), ([(2, 1), (3, 1), (9, 8)], 0), ([(2, 1), (3, 2)], 1)])
+def test_no_round_is_run_to_find_that_nothing_changes(spark, monkeypatch, links, rounds):
+    written = []
+    from reelmill.llm import components as module
+
+    real = module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: written.append(name) or real(df, name))
+    got = sorted(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert len(written) == 1 + rounds
+    assert got == sorted({(x, 8 if x > 7 else 1) for pair in links for x in pair})
+
+
 def test_prefixes_suffice():
     """Linked sets share a shingle among the first n // 4 + 1 in any order."""
     random.seed(9)
