@@ -3,7 +3,8 @@
 Ratings are the big table.  Each product first collapses them by partial
 aggregation to a few rows per key and task, so a key that holds a third of all
 ratings costs its reducer no more than any other; distinct counts go through the
-distinct pairs, which spread over all tasks.
+distinct pairs, which spread over all tasks.  Users are the exception: a user's ratings
+are shuffled as they are, to a few places (:func:`user_profile`).
 """
 
 from __future__ import annotations
